@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, media, mixing, packing, simhash, token_counts
+from . import ann, language_id, line_dedup, media, mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language_id.op2_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_media_columns": media.op5_media_columns,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
