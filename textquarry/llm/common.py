@@ -53,7 +53,7 @@ def salted(n: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-_TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary()), "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
+_TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary()), "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}
 
 
 def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable, keep: bool = False, many: bool = False) -> DataFrame:

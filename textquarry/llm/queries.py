@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, line_dedup, media, mixing, packing, simhash, token_counts
+from . import ann, html_extraction, language_id, line_dedup, media, mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_media_columns": media.op5_media_columns,
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
