@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, language_id, line_dedup, media, mixing, packing, simhash, token_counts
+from . import ann, html_extraction, language_id, line_dedup, media, mixing, packing, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_media_columns": media.op5_media_columns,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
