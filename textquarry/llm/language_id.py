@@ -39,7 +39,7 @@ class Model:
             return [math.log10(found[x] / total[x]) if found.get(x) else -lowest[0] for x in langs]
 
         self.words = {w: i for i, (w, _) in enumerate(words)}
-        self.base = np.array([row(f, totals["word"]) for _, f in words], np.float64).reshape(-1, len(langs))
+        self.base = np.array([row(f, totals["word"]) for _, f in words], np.float64).reshape(len(words), len(langs))
         self.grams = {g: np.array(row(f, totals[len(g)])) for g, f in grams}
         self.nothing = np.full(len(langs), -lowest[0])
         self._reset()

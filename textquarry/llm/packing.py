@@ -122,20 +122,22 @@ def best_fit_plan(counts: dict[int, int], window: int) -> list[tuple[int, int, i
         at, n = 0, counts[length]
         while at < n:
             capacity = tree.find(length)
-            if capacity is None:  # as many new windows as can take what is left, filled by the tightest fit again
-                capacity, new = window, -(-(n - at) // (window // length))
-                runs.setdefault(window, []).append((made, new))
-                tree.add(window, new)
-                made += new
-            first, have = runs[capacity].pop()
-            m = min(have, n - at)
-            if m < have:
-                runs[capacity].append((first + m, have - m))
-            plan.append((length, at, at + m, first, window - capacity))
-            runs.setdefault(capacity - length, []).append((first, m))
-            tree.add(capacity, -m)
-            tree.add(capacity - length, m)
-            at += m
+            if capacity is None:
+                capacity = window
+                q = (n - at) // (window // length) or 1
+                first, made = made, made + q
+            else:
+                first, have = runs[capacity].pop()
+                q = min(have, (n - at) // (capacity // length)) or 1
+                if q < have:
+                    runs[capacity].append((first + q, have - q))
+                tree.add(capacity, -q)
+            each = min(capacity // length, n - at)  # a window that takes a piece is the tightest for the next one too
+            for _ in range(each):
+                plan.append((length, at, at + q, first, window - capacity))
+                at, capacity = at + q, capacity - length
+            runs.setdefault(capacity, []).append((first, q))
+            tree.add(capacity, q)
     return plan
 
 

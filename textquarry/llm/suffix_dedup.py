@@ -226,8 +226,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     hits = runs.join(again.unionByName(once), ["anchor", "run"]).groupBy("name", "n_bytes", "first").agg(F.first(places).alias("places"))
     by_text = hits.groupBy("name", "n_bytes").agg(F.flatten(F.collect_list("places")).alias("places"))
     rest = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
-    all_texts = per_value(docs.select(text, *rest), text, {"name": "long", "n_bytes": "int", "data": "binary"}, lambda: named)
-    joined = all_texts.join(by_text, ["name", "n_bytes"], "left").select(*rest, F.struct("data", "places").alias("v"))
+    all_texts = per_value(docs.select(text, *rest), text, {"__name": "long", "__size": "int", "__data": "binary"}, lambda: named)
+    cuts = by_text.select(F.col("name").alias("__name"), F.col("n_bytes").alias("__size"), F.col("places").alias("__places"))
+    joined = all_texts.join(cuts, ["__name", "__size"], "left").select(*rest, F.struct(F.col("__data").alias("data"), F.col("__places").alias("places")).alias("__v"))
 
     def finish(v: dict) -> tuple:
         data, places = v["data"], v["places"]
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
         return (len(data), removed, spans_, hashlib.sha256(out).hexdigest(), *([out] if keep_text else []))
 
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep_text else {})
-    return per_value(joined, "v", made, lambda: finish)
+    return per_value(joined, "__v", made, lambda: finish)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
