@@ -53,6 +53,8 @@ def salted(n: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+#: Rows of a batch that are Python objects at once.
+SLICE = 512
 _TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary()), "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}
 
 
@@ -67,7 +69,7 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = start()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows, others = [one(v) for v in batch.column(0).to_pylist()], batch.columns[1:]
             if many:
                 at = pa.array([i for i, own in enumerate(rows) for _ in own], pa.int64())

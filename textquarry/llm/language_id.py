@@ -31,7 +31,7 @@ UNKNOWN = "und"
 class Model:
     """Log10 frequencies of words and n-grams in each language."""
 
-    def __init__(self, langs: list[str], words: list[tuple[str, dict]], grams: list[tuple[str, dict]], totals: dict, lengths: tuple[int, ...], cache: int = 400_000):
+    def __init__(self, langs: list[str], words: list[tuple[str, dict]], grams: list[tuple[str, dict]], totals: dict, lengths: tuple[int, ...], cache: int = 100_000):
         self.langs, self.lengths, self.cache_size = langs, lengths, cache
         lowest = [1.0 + max([0.0, *(math.log10(n) for n in totals.get("word", {}).values())])]
 
@@ -81,7 +81,7 @@ class Model:
         return self.langs[best], float(1.0 / np.exp(scaled).sum())
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 100_000, max_grams: int = 30_000, lengths: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 20_000, lengths: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
     """A model from at most about max_docs labelled rows; lengths: those of the n-grams, as they are tried."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     share = min(1.0, max_docs / max(1, rows.count()))

@@ -30,7 +30,7 @@ _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}
 class Encoder:
     """Ids of whole texts under a byte-level BPE file, as little-endian unsigned 32-bit numbers, with a cache of pieces."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library, self.cache_size = Tokenizer.from_file(path), cache
