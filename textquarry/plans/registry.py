@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -355,8 +357,13 @@ def g3_jobs_by_status(spark, d):
 @query(f"WITH {_FIXED} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1) AS indexed, (SELECT count(*) FROM chunks) AS chunks")
 def g4_g5_corpus_stats(spark, d):
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels", "doc_id", "quality")
-    a = docs.join(labels, "doc_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("quality") == 1).alias("indexed"))
-    return a.crossJoin(chunk.fixed_chunks(docs).agg(F.count(F.lit(1)).alias("chunks")))
+    parts = {
+        "documents": docs,
+        "indexed": docs.join(labels.filter("quality = 1"), "doc_id", "left_semi"),
+        "chunks": chunk.fixed_chunks(docs),
+    }
+    rows = [df.select(*[F.lit(int(n == m)).cast("long").alias(m) for m in parts]) for n, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in parts])
 
 
 @query(f"WITH {_hybrid_sql(50)} SELECT count(DISTINCT doc_id) AS documents, count(*) AS passages FROM hybrid")
