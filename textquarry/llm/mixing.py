@@ -63,17 +63,17 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, most: int = 3
     return [sum(room[e ^ 1] for e in at[0] if to[e] == 1 + i) for i in range(len(patterns))]
 
 
-def source_targets(sizes: DataFrame, total, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """sizes (source, source_size): a row for each source, with its target. total: words to share, a one-row DataFrame (total).
+def source_targets(sizes: DataFrame, total: float, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """sizes (source, source_size): a row for each source, with its target. total: words to share.
 
     A target is its weight's share, at most `most` times the source; what is cut off is shared by weight among the rest.
     With sources by rising ratio of limit to weight, a source is at its limit if that is at most the level which would
     hold from it on; the windows run over a row for each source.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("w", w).withColumn("limit", F.col("source_size") * float(most)).crossJoin(F.broadcast(total))
+    ranked = sizes.withColumn("w", w).withColumn("limit", F.col("source_size") * float(most))
     order = Window.orderBy((F.col("limit") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("limit").over(order), F.lit(0.0))) / (F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
+    level = (F.lit(total) - F.coalesce(F.sum("limit").over(order), F.lit(0.0))) / (F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
     levels = ranked.withColumn("level", level).withColumn("full", F.col("limit") <= F.col("level") * F.col("w"))
     rest = F.max(F.when(~F.col("full"), F.struct(-F.col("limit") / F.col("w"), "level"))).over(Window.partitionBy())["level"]
     return levels.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(rest * F.col("w")).alias("target"))
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, sources: str, size: str, key: str = "doc_id", seed: int
     keyed = docs.withColumn("_pattern", F.to_json(F.array_sort(F.array_distinct(sources))))
     patterns = materialise(keyed.groupBy("_pattern").agg(F.first(F.array_sort(F.array_distinct(sources))).alias("_sources"), F.sum(size).alias("_size")))
     each = patterns.select("_pattern", "_size", F.explode("_sources").alias("source"))
-    targets = materialise(source_targets(each.groupBy("source").agg(F.sum("_size").alias("source_size")), patterns.agg(F.coalesce(F.sum("_size"), F.lit(0)).cast("double").alias("total")), weights, most))
+    total = float(patterns.agg(F.sum("_size")).first()[0] or 0)
+    targets = materialise(source_targets(each.groupBy("source").agg(F.sum("_size").alias("source_size")), total, weights, most))
     names = each.select("_pattern", F.to_json(F.array("source")).alias("s"))
     grouped = components(names.join(names.select(F.col("s"), F.col("_pattern").alias("p2")).groupBy("s").agg(F.min("p2").alias("p2")), "s").select(F.col("_pattern").alias("a"), F.col("p2").alias("b")))
     routed = each.join(targets, each["source"].eqNullSafe(targets["source"])).select("_pattern", "_size", F.to_json(F.array(each["source"])).alias("s"), F.least(F.round("target"), F.col("source_size") * most).cast("long").alias("quota"))
