@@ -13,7 +13,8 @@ than the smallest in between if the characters agree, else none); no suffix is s
 reaches ``length``, the suffixes form a repeated interval, and the windows that start there repeat.
 
 Scale: runs carry two hashes and a place, about one for each 65 bytes of text; counts are partial before the shuffle.
-Runs whose anchor occurs once leave after one count of anchors, so that later shuffles carry repeated text only.
+Runs whose anchor occurs once leave after one count of anchors, so that later shuffles carry repeated text only. Joins go by
+anchor and salt; the other side is repeated for just the salts that occur, so it never outgrows the runs.
 An anchor with more than ``most_shards`` different runs is not merged in one task: its windows are counted by digest
 instead, which gives the same answer. Texts are named by hash and size, so copies share their decisions.
 
@@ -199,13 +200,15 @@ def _count_windows(spans: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 64, most_shards: int = 50_000, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) unless keep_text is false."""
-    runs = materialise(runs_of(docs, text, length, gram))
+    runs = materialise(runs_of(docs, text, length, gram).withColumn("salt", (F.monotonically_increasing_id() % 64).cast("int")))  # written, so fixed
+    salts = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts")
+    salt = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)).alias("salt")
     alone = F.count(F.lit(1)) == 1
-    often = runs.groupBy("anchor").agg(alone.alias("alone"), (F.min("run") != F.max("run")).alias("mixed")).filter("NOT alone").select("anchor", "mixed")
-    live = materialise(runs.join(often, "anchor"))  # what occurs once under its anchor goes no further
+    often = runs.groupBy("anchor").agg(alone.alias("alone"), (F.min("run") != F.max("run")).alias("mixed"), salts).filter("NOT alone").select("anchor", "mixed", salt)
+    live = materialise(runs.join(often, ["anchor", "salt"]))  # what occurs once under its anchor goes no further
     forget(runs)
     whole = F.struct("name", "n_bytes", "first", "windows", "offset")
-    same = materialise(live.groupBy("anchor", "run", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("at")))
+    same = materialise(live.groupBy("anchor", "run", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("at"), salts))
     mixed = same.filter("mixed").select("anchor", "run", "n", "at")
     shards = mixed.join(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("shards")), "anchor").select("anchor", "run", "n", "shards", "at.*")
     wanted = shards.groupBy("name", "n_bytes").agg(F.collect_list(F.struct("anchor", "run", "shards", "first", "windows", "offset")).alias("cuts"))
@@ -224,10 +227,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     by_merge = _decide(spans.filter(F.col("shards") <= most_shards), length, gram)
     decided = materialise(by_merge.unionByName(_count_windows(spans.filter(F.col("shards") > most_shards), length)))
     forget(spans)
-    again = same.filter("n > 1").select("anchor", "run", F.array(F.lit(0), F.col("at.windows").cast("long")).alias("repeats"))
-    once = decided.join(same.filter("n > 1").select("anchor", "run"), ["anchor", "run"], "left_anti")
+    again = same.filter("n > 1").select("anchor", "run", F.array(F.lit(0), F.col("at.windows").cast("long")).alias("repeats"), salt)
+    once = decided.join(same.filter("n = 1"), ["anchor", "run"]).select("anchor", "run", "repeats", salt)
     places = F.transform("repeats", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, length - 1).otherwise(0))
-    hits = live.join(again.unionByName(once), ["anchor", "run"]).groupBy("name", "n_bytes", "first").agg(F.first(places).alias("places"))
+    hits = live.join(again.unionByName(once), ["anchor", "run", "salt"]).groupBy("name", "n_bytes", "first").agg(F.first(places).alias("places"))
     by_text = hits.groupBy("name", "n_bytes").agg(F.flatten(F.collect_list("places")).alias("places"))
     rest = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     all_texts = per_value(docs.select(text, *rest), text, {"__name": "long", "__size": "int", "__data": "binary"}, lambda: named)
