@@ -23,12 +23,12 @@ def topic_by(found: DataFrame, by: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """One page, with total and total_pages on each row. The total is an aggregate of its own, not a window over all rows."""
+    """One page, with total and total_pages on each row. The total is a count of its own, not a window over all rows."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("pages start at 1 and hold 1 to 100 rows")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.count()
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(total)).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
+    return rows.withColumn("total", F.lit(total).cast("long")).withColumn("total_pages", F.lit(max(1, -(-total // size))).cast("long"))
 
 
 def latest(df: DataFrame, by: str, *order: str) -> DataFrame:

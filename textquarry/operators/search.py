@@ -90,14 +90,14 @@ def rerank(found: DataFrame, n: int, score: Column | None = None) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int = 20, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 (an extension). Term counts of query terms only leave the scan; statistics are one row and one row a term."""
+    """Okapi BM25 (an extension). Term counts of query terms only leave the scan; statistics are two numbers and one row a term."""
     wanted = sorted({t.lower() for _, ts in queries for t in ts})
     own = docs.select(F.col(key), T.terms(text).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer(F.filter("_t", lambda t: t.isin(wanted))).alias("term"))
     tf = own.groupBy(key, "dl", "term").agg(F.count("term").alias("tf"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.terms(text))).alias("avgdl"))
+    n, avgdl = docs.agg(F.count(F.lit(1)), F.avg(F.size(T.terms(text)))).first()
     df = tf.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = F.broadcast(docs.sparkSession.createDataFrame([(q, t.lower()) for q, ts in queries for t in sorted(set(ts))], "query_id long, term string"))
-    s = tf.filter("term IS NOT NULL").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(asked, "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    s = tf.filter("term IS NOT NULL").join(F.broadcast(df), "term").join(asked, "term")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
     return _top(s.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")), k, F.desc("score"), F.col(key))
