@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.functions import vector as V
-from textquarry.operators import catalog, chunk, context, layout, search
-from textquarry.sources import files, markup
+from textquarry.operators import catalog, chunk, context, jobs, layout, search, tools
+from textquarry.sources import files, markup, points
 from textquarry.streaming import ingest
 
 
@@ -196,14 +196,61 @@ SF = "/root/testdata/sf0.001"
 def test_registry_against_duckdb(spark):
     import duckdb
 
-    from textquarry.plans import registry
+    from textquarry.plans import prepare, registry, service  # noqa: F401
 
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "labels", "events", "orders", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("r4_hybrid_search", "a3_ask_context", "k5_fixed_chunks", "c12_clean_raw", "g12_latest_job", "g16_histogram"):
+    for name in ("r4_hybrid_search", "a3_ask_context", "k5_fixed_chunks", "c12_clean_raw", "g12_latest_job", "g16_histogram", "s13_s19_points", "c10_drop_learned_lines", "c16_page_table_markdown", "x1_x12_w4_sections", "x13_title", "t4_analysis", "i2_progress", "i3_failures"):
         got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
         cols = sorted(got.columns)
         key = lambda df: sorted(map(str, df[cols].round(9).itertuples(index=False, name=None)))
         assert cols == sorted(want.columns) and len(got) == len(want), name
         assert key(got.astype(str)) == key(want.astype(str)), name
+
+
+def test_points(spark):
+    import uuid
+
+    rows = spark.createDataFrame([("a", None, [1.0]), ("é", 3, None)], "chunk_id string, chunk_index long, embedding array<double>")
+    held = points.to_points(rows)
+    got = {r["chunk_id"]: r for r in points.from_points(held).collect()}
+    assert all(got[n]["point_id"] == str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in ("a", "é"))
+    assert (got["a"]["chunk_index"], got["é"]["chunk_index"], got["a"]["doc_type"], got["a"]["tags"]) == (0, 3, "unknown", [])
+    assert tuple(points.stats(held).first()) == (2, 1, 1, 1)
+    assert tuple(points.stats(held.limit(0)).first()) == (0, None, None, 0)
+
+
+def test_parsed_files(spark):
+    given = [("/a/x.TXT", "plain words"), ("/a/y.md", "# H\n\nbody"), ("/a/z.html", "<main><h1>T</h1><p>para</p></main>"), ("/a/q.xyz", "?"), ("/a/p.pdf", None), ("/a/none", "")]
+    out = files.parse_files(files.dispatched(spark.createDataFrame(given, "path string, text string"))).collect()
+    assert {r["path"]: r["error"] for r in out if r["error"]} == {"/a/q.xyz": "no parser for .xyz", "/a/p.pdf": "no text in .pdf", "/a/none": "no parser for ."}
+    assert {(r["path"], r["heading"], r["text"]) for r in out if not r["error"]} >= {("/a/y.md", "H", "body"), ("/a/z.html", "T", "para")}
+
+
+def test_jobs(spark):
+    log = [(1, "parse", None, 1), (1, "done", None, 5), (2, "chunk", None, 2), (3, "odd", None, 3)]
+    at = spark.createDataFrame(log, "job_id long, step string, error string, n int").withColumn("ts", F.timestamp_seconds("n"))
+    assert {r[0]: (r[1], r[2] is not None) for r in jobs.progress(at).collect()} == {1: (100, True), 2: (30, False), 3: (0, False)}
+    log = [(1, "x" * 2000, 1), (1, None, 2), *[(2, f"e{i}", i) for i in range(4)], (3, "once", 9), (4, "", 1)]
+    bad = spark.createDataFrame(log, "job_id long, error string, n int").withColumn("ts", F.timestamp_seconds("n"))
+    got = {r[0]: (r[1], r[2], r[3], r[4] is not None) for r in jobs.failures(bad).collect()}
+    assert got == {1: (1, "success", None, False), 2: (4, "failed", "e3", False), 3: (1, "retrying", "once", True), 4: (1, "retrying", "", True)}
+    assert jobs.failures(bad.limit(0)).count() == 0
+
+
+def test_pages_tables_and_checks(spark):
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, " \n"), (2, 1, None)], "doc_id long, page_number int, text string")
+    assert [tuple(r) for r in layout.join_pages(pages).collect()] == [(1, "a\n\nb")]
+    tables = spark.createDataFrame([(1, 1, 2, "T2"), (1, 1, 1, "T1")], "doc_id long, page_number int, position int, table string")
+    assert layout.with_tables(pages, tables).filter("doc_id = 1 AND page_number = 1").first()["text"] == "a\n\nT1\n\nT2"
+    rows = spark.createDataFrame([([],), (None,), ([["a"], ["b"]],), ([["a", "b"], ["", None]],), ([["a", "b"], ["c"]],)], "r array<array<string>>")
+    assert [bool(x[0]) for x in rows.select(layout.real_tables(F.col("r"))).collect()] == [False, False, False, False, True]
+    assert [x[0] for x in rows.select(T.page_table_to_markdown(F.col("r"))).collect()][:3] == ["", "", "| a |\n| --- |\n| b |"]
+    asked = spark.createDataFrame([(5, "a"), (None, "b"), (99, None)], "k int, mode string")
+    assert [r[0] for r in catalog.violations(asked, {"k": (1, 50)}, {"mode": ("a", "b")}).select("violations").collect()] == [[], ["k"], ["k", "mode"]]
+    assert search.request_filters({"file_type": "pdf", "document_ids": [], "x": None, "y": 1}) == {"doc_type": "pdf", "y": 1}
+    docs = spark.createDataFrame([(2, "Two.pdf", "t"), (1, "one.PDF", "o")], "doc_id long, filename string, text string")
+    assert tools.document(docs, name=".pdf").first()["doc_id"] == 1 and tools.document(docs, 2).first()["preview"] == "t"
+    with pytest.raises(ValueError, match="id or a name"):
+        tools.document(docs)

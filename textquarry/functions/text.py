@@ -96,6 +96,11 @@ def clean_meta(c) -> Column:
     return F.when(s.isin("", "None", "null"), None).otherwise(clean_raw(c))
 
 
+def is_scanned(c) -> Column:
+    """Whether a page has too little text to be more than an image."""
+    return F.length(strip(c)) < 30
+
+
 def rewrite_query(c) -> Column:
     return strip(F.regexp_replace(_col(c), rf"(?U){SPACE}+", " "))
 
@@ -144,18 +149,29 @@ def _pad(row: Column, width: Column) -> Column:
     return F.concat(row, F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0))))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), where value is worked out once however often f uses it, inside lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def table_to_markdown(rows: Column, strict: bool = False) -> Column:
     """An array of rows as a Markdown table as wide as its header: short rows are padded, long ones cut."""
     if strict:
         rows = F.transform(rows, lambda r: F.transform(r, lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|"))))
-    width = F.size(rows[0])
-    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: _row(F.slice(_pad(r, width), F.lit(1), width)))
-    out = F.array_join(F.concat(F.array(_row(rows[0]), _row(F.array_repeat(F.lit("---"), width))), body), "\n")
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").otherwise(out)
+
+    def built(rows: Column, width: Column) -> Column:
+        body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: _row(F.slice(_pad(r, width), F.lit(1), width)))
+        out = F.array_join(F.concat(F.array(_row(rows[0]), _row(F.array_repeat(F.lit("---"), width))), body), "\n")
+        return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").otherwise(out)
+
+    return _once(rows, lambda rs: _once(F.size(F.try_element_at(rs, F.lit(1))), lambda width: built(rs, width)))
 
 
 def page_table_to_markdown(rows: Column) -> Column:
     """As wide as the widest row; null cells are empty, white space in cells becomes one space."""
     clean = F.transform(rows, lambda r: F.transform(r, lambda x: rewrite_query(F.coalesce(x, F.lit("")))))
-    width = F.array_max(F.transform(clean, F.size))
-    return table_to_markdown(F.transform(clean, lambda r: _pad(r, width)))
+
+    def padded(rs: Column) -> Column:
+        return _once(F.array_max(F.transform(rs, F.size)), lambda width: F.transform(rs, lambda r: _pad(r, width)))
+
+    return table_to_markdown(_once(clean, padded))

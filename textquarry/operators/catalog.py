@@ -53,6 +53,18 @@ def out_of_range(df: DataFrame, column: str, low: float, high: float) -> DataFra
     return df.filter((F.col(column) < low) | (F.col(column) > high))
 
 
+def violations(df: DataFrame, bounds: dict[str, tuple[float, float]], allowed: dict[str, tuple] | None = None) -> DataFrame:
+    """df with `violations`: the names of the columns that are null, outside their bounds or not among the values allowed."""
+    bad = [F.when(F.coalesce(F.col(c).between(low, high), F.lit(False)), None).otherwise(c) for c, (low, high) in bounds.items()]
+    bad += [F.when(F.coalesce(F.col(c).isin(*vs), F.lit(False)), None).otherwise(c) for c, vs in (allowed or {}).items()]
+    return df.withColumn("violations", F.array_compact(F.array(*bad)))
+
+
+def means(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: the mean of each metric, null where there is none."""
+    return df.agg(*[F.avg(c).alias(c) for c in columns])
+
+
 def retry_failed(docs: DataFrame, status: str = "status") -> DataFrame:
     return docs.withColumn(status, F.when(F.col(status) == "failed", "pending").otherwise(F.col(status)))
 

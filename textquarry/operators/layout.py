@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def body_size(spans: DataFrame, key: str = "doc_id", size: str = "size") -> DataFrame:
     """The commonest size to half a point, the first seen among equals (position); 12 where there is none."""
@@ -41,3 +43,22 @@ def title(blocks_: DataFrame, key: str = "doc_id") -> DataFrame:
     """The largest of the first five blocks of page 1 with 4 to 119 characters (needs size)."""
     first = blocks_.filter("page_number = 1 AND block < 5").filter(F.length("text").between(4, 119))
     return first.groupBy(key).agg(F.max_by("text", F.struct("size", -F.col("block"))).alias("title"))
+
+
+def join_pages(pages: DataFrame, key: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """key, text: the pages that are not blank, in order, a blank line between them. A document's pages meet in one row."""
+    own = pages.filter(T.strip(text) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("_p"))
+    return own.select(key, F.array_join(F.transform("_p", lambda x: x[text]), "\n\n").alias("text"))
+
+
+def with_tables(pages: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each page's text with its tables (key, page_number, position, table) after it."""
+    held = tables.groupBy(key, "page_number").agg(F.array_sort(F.collect_list(F.struct("position", "table"))).alias("_t"))
+    more = F.coalesce(F.transform("_t", lambda x: x["table"]), F.array().cast("array<string>"))
+    return pages.join(held, [key, "page_number"], "left").withColumn("text", F.array_join(F.concat(F.array("text"), more), "\n\n")).drop("_t")
+
+
+def real_tables(rows: Column) -> Column:
+    """Whether rows make a table: two with some cell filled, and a first one of two cells or more."""
+    filled = F.filter(rows, lambda r: F.exists(r, lambda x: F.coalesce(T.strip(x) != "", F.lit(False))))
+    return (F.size(filled) >= 2) & (F.size(F.try_element_at(filled, F.lit(1))) >= 2)

@@ -28,6 +28,12 @@ def metadata_filter(df: DataFrame, filters: dict, match: str = "all") -> DataFra
     return df.filter(cond)
 
 
+def request_filters(asked: dict) -> dict:
+    """A request's filters under the columns' names; empty ones are dropped."""
+    names = {"file_type": "doc_type", "document_ids": "doc_id"}
+    return {names.get(k, k): v for k, v in asked.items() if v}
+
+
 def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first k of each query: Spark keeps k rows of each task before it shuffles."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col(rank) <= k)

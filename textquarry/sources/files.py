@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import markup
 
 PARSERS = {"pdf": "pdf", "html": "html", "htm": "html", "xhtml": "html", "txt": "text", "md": "markdown", "markdown": "markdown", "log": "text"}
 UPLOADS = ("pdf", "docx", "txt", "md", "html")
 MAX_BYTES = 50 * 1024 * 1024
 
 
+def dispatched(files: DataFrame) -> DataFrame:
+    """files with suffix (lower case) and parser (null: no parser for it) by path."""
+    parser = F.try_element_at(F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv]), F.col("suffix"))
+    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).withColumn("parser", parser)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, suffix, parser (null: no parser for it), content, length, text (UTF-8, else Latin-1; null for binary formats)."""
+    """path, suffix, parser, content, length, text (UTF-8, else Latin-1; null for binary formats)."""
     raw = spark.read.format("binaryFile").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    parser = F.try_element_at(F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv]), F.col("suffix"))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    named = raw.select("path", suffix.alias("suffix"), "content", "length").withColumn("parser", parser)
+    named = dispatched(raw.select("path", "content", "length")).select("path", "suffix", "content", "length", "parser")
     return named.withColumn("text", F.when(F.col("parser").isin("text", "markdown", "html"), text))
 
 
@@ -35,6 +41,25 @@ def text_documents(files: DataFrame) -> DataFrame:
     return files.filter(F.col("parser").isin("text", "markdown")).select("path", F.initcap(F.translate(stem, "_-", "  ")).alias("title"), clean.alias("raw_text"), T.word_count(clean).alias("word_count"))
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """Sections of all files that have a parser for text, and one row with an error for each other file.
+
+    path, section_no, heading, level, text, has_table, error. A file that cannot be read is data, not an end of the job.
+    """
+    own = {"html": markup.html_sections, "markdown": markup.markdown_sections, "text": markup.text_sections}
+    parts = [read(files.filter(F.col("parser") == kind), "path", "text").withColumn("error", F.lit(None).cast("string")) for kind, read in own.items()]
+    why = F.when(F.col("parser").isNull(), F.concat(F.lit("no parser for ."), F.col("suffix"))).otherwise(F.concat(F.lit("no text in ."), F.col("suffix")))
+    other = files.filter(F.col("parser").isNull() | ~F.col("parser").isin(*own)).select("path", why.alias("error"))
+    return reduce(DataFrame.unionByName, parts).unionByName(other, allowMissingColumns=True)
+
+
+def index_records(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", most: int = 50_000) -> DataFrame:
+    """The catalogue row of each document: status (indexed where it has chunks), chunk_count, the start of its text."""
+    n = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_count"))
+    count = F.coalesce("chunk_count", F.lit(0))
+    return docs.join(n, key, "left").select(key, F.when(count > 0, "indexed").otherwise("failed").alias("status"), count.alias("chunk_count"), F.substring(text, 1, most).alias("raw_text"))
+
+
 def tags(c) -> Column:
     return F.filter(F.transform(F.split(c, ","), T.strip), lambda x: x != "")
 
