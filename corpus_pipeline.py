@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import language_id, line_dedup, mixing, packing, simhash
+from textquarry.llm import language_id, line_dedup, mixing, near_copies, packing
 from textquarry.llm.common import materialise
 
 #: A language verdict with a lower score is no verdict, and the document goes.
@@ -34,10 +34,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Rows without an id stand for themselves."""
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id. Rows without an id stand for themselves."""
+    found = near_copies.near_copies(docs).filter(F.col("doc_id").isNotNull())
+    rows = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
+    told = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", near_copies.row_digest(docs))
+    return told.join(rows, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

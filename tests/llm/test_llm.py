@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textquarry.llm import ann, graph, html_extraction, language_id, line_dedup, media, mixing, packing, simhash, suffix_dedup, token_counts
+from textquarry.llm import ann, graph, html_extraction, language_id, line_dedup, media, mixing, near_copies, packing, simhash, suffix_dedup, token_counts
 from textquarry.llm.dom import Page
 
 P = pytest.importorskip("public_tokenizers")
@@ -170,6 +170,32 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    texts = [*ODD, *(" ".join(f"w{rnd.randrange(400)}" for _ in range(n)) for n in (40, 80, 120, 200, 1000) for _ in range(4))]
+    for t in texts[len(ODD) :]:
+        for edits in (1, 2, 3, len(t.split()) // 45, len(t.split()) // 30):
+            w = t.split()
+            for i in rnd.sample(range(len(w)), edits):
+                w[i] = "changed"
+            texts.append(" ".join(w))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    alike = [[j for j in range(len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(texts))]
+    between = [(i, j) for i in range(len(texts)) for j in alike[i] if i < j and len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j])]
+    assert len(between) > 20  # pairs at 0.8 to 0.9
+    up = list(range(len(texts)))
+    while (new := [min(up[j] for j in alike[i]) for i in range(len(texts))]) != up:
+        up = new
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(up))
+    again = spark.createDataFrame([(7, "one text of its own, here for the first time", "en", "s", 1), (7, "no word in common with that", "en", "s", 1), (None, "x", "en", "s", 1)], df.schema)
+    assert corpus_pipeline.drop_near_copies(spark, again.unionByName(again), "").count() == 4  # the text of a repeated id stays, rows without an id stand for themselves
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("limit", [2048, 4])
 def test_close_pairs_lose_nothing(limit):
     rnd = np.random.default_rng(3)
