@@ -29,8 +29,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their hosts' boilerplate lines."""
-    return _columns(line_dedup.drop_lines(docs), docs)
+    """Documents without their hosts' boilerplate lines. Copies of a text count once: else a text that is copied often would go in all its copies."""
+    return _columns(line_dedup.drop_lines(docs, once=True), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,18 @@ def test_line_dedup(spark):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_copies_once(spark):
+    import corpus_pipeline
+
+    hot = "a text that is copied\nto a third of its host"
+    rows = [(i, f"menu\nline {i}" if i < 40 else hot, "en", h, 1) for h in ("h", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_boilerplate(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, hot if i >= 40 else f"line {i}") for i, *_ in rows)
+    twice = df.unionByName(df).filter("doc_id < 3")
+    assert [r["text"][:4] for r in corpus_pipeline.drop_boilerplate(spark, twice, "").collect()] == ["menu"] * 12  # 3 texts are fewer than 5 pages
+
+
 def test_language_id(spark):
     rnd = random.Random(1)
     vocab = {"en": "the and of that with this from have there which".split(), "fr": "le la les des une dans pour avec être très".split()}

@@ -2,7 +2,9 @@
 
 The documents of a host that contain a line, divided by all documents of that host, give the line's ratio; lines above
 ``ratio`` on at least ``min_pages`` documents are boilerplate there and go. Lines are compared by their digest after
-trimming blanks; blank lines always stay.
+trimming blanks; blank lines always stay. With ``once``, exact copies of a text count as one document of their host, both
+in a line's pages and in the host's total, so that a text is not boilerplate just because it is copied often; op1's SQL
+counts every document.
 
 Scale: counts are partial before the shuffle, which carries digests and hosts only. The rows that hold boilerplate are
 found by a join on (host, digest, salt): the boilerplate side has few rows for each host (lines per document / ratio at
@@ -28,8 +30,10 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(_BLANK))))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5) -> DataFrame:
-    """host, line (digest), pages: the lines to drop."""
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5, once: bool = False) -> DataFrame:
+    """host, line (digest), pages: the lines to drop. once: copies of a text count as one page."""
+    if once:
+        docs = docs.select(F.col(host), F.col(text), F.md5(text).alias("_text")).dropDuplicates([host, "_text"])
     lines = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _digest))).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("all_pages"))
@@ -38,9 +42,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return joined.filter((F.col("pages") > F.lit(ratio) * F.col("all_pages")) & (F.col("line") != _digest(F.lit("")))).select("host", "line", "pages")
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5, salts: int = 16) -> DataFrame:
+def drop_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5, salts: int = 16, once: bool = False) -> DataFrame:
     """docs without their hosts' boilerplate lines; n_lines and n_dropped tell how many there were and went."""
-    bad = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_b_host"), F.col("line").alias("_b_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_b_salt"))
+    bad = boilerplate(docs, host, text, ratio, min_pages, once).select(F.col("host").alias("_b_host"), F.col("line").alias("_b_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_b_salt"))
     salt = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(salts)).cast("int")
     held = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), salt.alias("_salt"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _digest))).alias("_line"))
     hits = held.join(bad, F.col("_host").eqNullSafe(F.col("_b_host")) & (F.col("_line") == F.col("_b_line")) & (F.col("_salt") == F.col("_b_salt")), "left_semi")
