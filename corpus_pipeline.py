@@ -42,16 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last one taken of a source is cut after the words that fit its target."""
+    """Documents as often as the mix takes them, always whole; the last one taken of a source may pass its target by less than its own size."""
     takes = mixing.mixed_documents(docs).filter("taken > 0")
     takes = takes.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken").dropDuplicates(["_id", "_size"])
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD_PATTERN)), F.lit(0))
     joined = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    copies = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_size")).cast("int") - 1)
-    words = F.least(F.col("_size"), F.col("taken") - F.col("_copy") * F.col("_size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD_PATTERN})"), 1), F.lit(1), words.cast("int")), " ")
-    out = joined.select(*[docs[c] for c in docs.columns], "_size", "taken", F.explode(copies).alias("_copy"))
-    return _columns(out.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text"))), docs)
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int"))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -321,6 +321,18 @@ def test_html_learns_what_the_pages_mark(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_mix_takes_whole_documents(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"first line {i}\n\nsecond  line " + "w " * (i % 7), "en", f"s{i % 3}", 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    assert got and all(tuple(r) == rows[r["doc_id"]] for r in got)
+    for t in mixing.mixed_documents(df).join(df.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect():
+        words = sum(len(r["text"].split()) for r in got if r["source"] == t["source"])
+        assert t["target"] - 1 <= words < t["target"] + 12
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
