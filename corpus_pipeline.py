@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import language_id, line_dedup, mixing, near_copies, packing
-from textquarry.llm.common import materialise
+from textquarry.llm.common import materialise, row_digest
 
 #: A language verdict with a lower score is no verdict, and the document goes.
 LEAST_SCORE = 0.5
@@ -37,18 +37,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id. Rows without an id stand for themselves."""
     found = near_copies.near_copies(docs).filter(F.col("doc_id").isNotNull())
     rows = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    told = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", near_copies.row_digest(docs))
+    told = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", row_digest(docs))
     return told.join(rows, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, always whole; the last one taken of a source may pass its target by less than its own size."""
-    takes = mixing.mixed_documents(docs).filter("taken > 0")
-    takes = takes.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken").dropDuplicates(["_id", "_size"])
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD_PATTERN)), F.lit(0))
-    joined = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(copies).alias("_copy")).drop("_copy")
+    told = docs.withColumn("_row", row_digest(docs))
+    takes = mixing.mixed_documents(told, "_row").filter("taken > 0")
+    takes = takes.groupBy("_row").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))  # rows alike in all columns share theirs
+    joined = told.dropDuplicates(["_row"]).join(takes, "_row")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

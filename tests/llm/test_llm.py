@@ -333,6 +333,18 @@ def test_mix_takes_whole_documents(spark):
         assert t["target"] - 1 <= words < t["target"] + 12
 
 
+def test_mix_tells_rows_with_one_id_apart(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 2 else 5, f"text {i} of three {i % 4}", "en", f"s{i % 4}", 1) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, df.unionByName(df.limit(1)), "").collect()
+    assert {tuple(r) for r in got} <= set(rows)
+    words = {s: sum(len(r["text"].split()) for r in got if r["source"] == s) for s in ("s0", "s1", "s2", "s3")}
+    for t in mixing.mixed_documents(df.unionByName(df.limit(1)).select(F.col("source").alias("doc_id"), "source", "text")).select("doc_id", "target").distinct().collect():
+        assert t["target"] - 1 <= words[t["doc_id"]] < t["target"] + 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,11 @@ def salted(n: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """A key that only rows which are alike in all columns share."""
+    return F.md5(F.to_json(F.struct(*docs.columns)))
+
+
 #: Rows of a batch that are Python objects at once.
 SLICE = 512
 _TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary()), "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}

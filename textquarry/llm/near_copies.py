@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, per_value
+from .common import materialise, per_value, row_digest
 from .graph import components
 
 WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 36, 5
@@ -73,11 +73,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(materialise(pairs).join(x, "a").join(y, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, ok boolean"))
 
 
-def row_digest(docs: DataFrame):
-    """A key that only rows which are alike in all columns share."""
-    return F.md5(F.to_json(F.struct(*docs.columns)))
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row (the row's digest), component: rows that links join, however far, have one component."""
     rows = docs.select(F.col(key), row_digest(docs).alias("row"), F.col(text).alias("text"))
