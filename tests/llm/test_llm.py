@@ -70,13 +70,39 @@ def test_token_counts(spark):
         assert (int(c[-1]) if len(c) else 0) == count(t or "")
     text = "Thonre inand, the qqzzxw don't <|endoftext|>stop naïve"
     assert prefixes.counts(text).tolist() == [count(text[: i + 1]) for i in range(len(text))]
-    got = token_counts.token_prefixes(odd(spark), path, budget=2, keep_prefixes=True).collect()
+    rnd = random.Random(9)
+    for _ in range(300):
+        t = "".join(rnd.choices(["th", "e ", "in", " ", "\n", "'s", "\u00e9", "1", "\u00bd", ".", "\u4e2d", "Qx", "tion", "\u0301", "<|", "|>"], k=rnd.randint(1, 60)))
+        assert int(prefixes.counts(t)[-1]) == count(t), t
+    assert prefixes.tables(["zzyzx ", "zzyzx", "\t"])[0][:-2] == prefixes.tables(["zzyzx"])[0]
+    got = token_counts.token_prefixes(odd(spark), path, budget=2).collect()
+    assert token_counts.token_prefixes(odd(spark).limit(0), path).count() == 0
     assert sorted(r["n_tokens"] for r in got) == sorted(count(t or "") for t in ODD)
     for r in got:
-        c = np.frombuffer(r["prefix_counts"], "<u4")
+        c = np.cumsum(np.frombuffer(r["prefix_steps"], "<i2"))
         assert len(c) == r["n_chars"] and r["fit_chars"] == max([i + 1 for i in range(len(c)) if c[i] <= 2], default=0)
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rnd = random.Random(8)
+    text = " ".join(rnd.choice(["one", "two's", "3", "r\u00e9el", "x-y.", "\n"]) for _ in range(400)) + "y" * 300
+    prefixes, encoder = token_counts.loaded(P.path("word_bpe_49k.json")), packing.Encoder(P.path("byte_bpe_50k.json"))
+    whole, ids = prefixes.counts(text).tolist(), encoder.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    for module in (token_counts, packing):
+        monkeypatch.setattr(module, "PART", 50)
+    assert prefixes.counts(text).tolist() == whole and encoder.encode(text) == ids
+
+
+def test_ranks_encode_like_the_library():
+    encoder = packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert encoder.ranked is not None
+    for c in [*range(0x3100), *range(0x3100, 0x110000, 97)]:
+        if not 0xD800 <= c < 0xE000:
+            t = f"a{chr(c)}b {chr(c)} 1{chr(c)}2  {chr(c)}{chr(c)}\n{chr(c)}'s{chr(c)}"
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids, hex(c)
+
+
 def test_media(spark):
     stored = media.encode_media(odd(spark), codec="mulaw")
     for r, s in zip(media.decode_media(stored).collect(), stored.collect(), strict=True):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,13 +18,21 @@ from pyspark.sql import types as T
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is set only where none is."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of
+    our own, removed at exit; on a cluster that is an error, as executors would write where nobody reads."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="textquarry-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -58,16 +68,62 @@ def row_digest(docs: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct(*docs.columns)))
 
 
-#: Rows of a batch that are Python objects at once.
-SLICE = 512
-_TYPES = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary()), "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """big joined to small (one row for each key at most) where a key may hold any share of big.
+
+    Rows of big get a salt from their columns `by`; small is repeated for just the salts that occur with a key, so it never
+    outgrows big, and a hot key is spread over `salts` tasks. Keys are equal as in SQL: a null meets nothing.
+    """
+    salt = F.lit(1).cast("long")
+    marked = big.withColumn("_salt_of_row", salted(salts, *by))
+    occurring = marked.groupBy(*on).agg(F.bit_or(F.call_function("shiftleft", salt, F.col("_salt_of_row"))).alias("_bits"))
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", F.col("_bits"), i) == 1))
+    spread = small.join(occurring, on).select(*small.columns, each.alias("_salt_of_row"))
+    return marked.join(spread, [*on, "_salt_of_row"], how).drop("_salt_of_row")
+
+
+class Pieces(dict):
+    """What is known of pieces of text. A miss is noted and answered None; once `size` are held, those not used since go."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.before, self.missed = size, {}, []
 
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            self.missed.append(key)
+        else:
+            self[key] = found
+        return found
 
-def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable, keep: bool = False, many: bool = False) -> DataFrame:
+    def learn(self, found: dict) -> None:
+        if len(self) > self.size:
+            self.before = dict(self)
+            self.clear()
+        self.update(found)
+        self.missed = []
+
+
+#: Rows of a batch that are Python objects at once.
+SLICE = 512
+_TYPES = {
+    "long": (T.LongType(), pa.int64()),
+    "int": (T.IntegerType(), pa.int32()),
+    "double": (T.DoubleType(), pa.float64()),
+    "string": (T.StringType(), pa.string()),
+    "binary": (T.BinaryType(), pa.binary()),
+    "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    "array<double>": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64())),
+}
+
+
+def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable, keep: bool = False, many: bool = False, together: bool = False) -> DataFrame:
     """df with the columns `made` (name: type) from one column, in Arrow batches; other columns pass untouched.
 
     start() is called once in each task and returns a function from a value to a tuple (with many: to a list of tuples,
-    each of which becomes a row). A column that is named like a made one is replaced; `column` goes unless keep.
+    each of which becomes a row; with together: from a list of values to a list of results). A column that is named like
+    a made one is replaced; `column` goes unless keep. No name of df's can clash: the value goes first, by place.
     """
     kept = [f for f in df.schema if f.name not in made and (keep or f.name != column)]
     names, types = [*(f.name for f in kept), *made], [_TYPES[k] for k in made.values()]
@@ -75,7 +131,8 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = start()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            rows, others = [one(v) for v in batch.column(0).to_pylist()], batch.columns[1:]
+            values = batch.column(0).to_pylist()
+            rows, others = one(values) if together else [one(v) for v in values], batch.columns[1:]
             if many:
                 at = pa.array([i for i, own in enumerate(rows) for _ in own], pa.int64())
                 rows, others = list(chain.from_iterable(rows)), [c.take(at) for c in others]
@@ -83,4 +140,21 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
             yield pa.RecordBatch.from_arrays([*others, *(pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True))], names=names)
 
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, (t, _) in zip(made, types, strict=True))])
-    return df.select(F.col(column).alias("__value"), *(f.name for f in kept)).mapInArrow(run, schema)
+    value = next(n for n in ("value", *(f"value_{i}" for i in range(len(names)))) if n not in {f.name for f in kept})
+    return df.select(F.col(column).alias(value), *(F.col(quoted(f.name)) for f in kept)).mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out

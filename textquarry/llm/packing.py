@@ -13,57 +13,81 @@ equal rows does not matter, they are interchangeable; an empty table gives an em
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_value, salted, table
 
-_WS, _L, _N = "\t-\r \x85\xa0", "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The tokenizer's own split of Latin-1 text, in which pieces can be kept by content.
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}{_N}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The split of byte-level vocabularies (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BREAK = re.compile("(?<=[a-zA-Z]) (?=[a-zA-Z])")
+#: Code points of a text that are encoded at once.
+PART = 1 << 20
 
 
-class Encoder:
-    """Ids of whole texts under a byte-level BPE file, as little-endian unsigned 32-bit numbers, with a cache of pieces."""
+def _byte_letters() -> dict[str, int]:
+    """The byte of each printable stand-in in a byte-level vocabulary: itself where printable, else the next free code point from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, path: str, cache: int = 200_000):
-        from tokenizers import Tokenizer
 
-        self.library, self.cache_size = Tokenizer.from_file(path), cache
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+class Encoder:
+    """Ids of whole texts under a byte-level BPE file (JSON), as little-endian unsigned 32-bit numbers.
 
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    Where the file is a plain byte-level BPE whose ids rise in the order of its merges, they rank the merges, and a second
+    library encodes by ranks, several times as fast with the same ids. Any other file, and a text that holds the string
+    of a special token, goes through the file's own library.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def _new(self, piece: str) -> bytes:
-        ids = self._ids(piece)
-        if len(piece) <= 64:
-            if len(self.known) > self.cache_size:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.ranked = self._ranked(spec)
+
+    def _ranked(self, spec: dict):
+        import tiktoken
+
+        model, split, letters = spec["model"], spec["pre_tokenizer"], _byte_letters()
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or spec["normalizer"] or not split or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
+            return None
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        single = {i for t, i in vocab.items() if len(t) == 1}
+        if None in merged or any(b <= a for a, b in itertools.pairwise(merged)) or single | set(merged) != set(vocab.values()) or len(single) != 256 or max(single) > merged[0]:
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def _in_parts(self, text: str) -> Iterator[str]:
+        """The text, cut before blanks between letters, where the tokenizer splits whatever else the text holds."""
+        at = 0
+        while len(text) - at > PART:
+            m = _BREAK.search(text, at + PART)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._ids(text)
-        if "<|" in text and any(s in text for s in self.special):
-            return self._ids(text)
-        pieces = _LATIN.findall(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.known.get(pieces[i]) or self._new(pieces[i])
-        return b"".join(found)
+        if self.ranked is None or any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(array("I", self.ranked.encode_ordinary(part)).tobytes() for part in self._in_parts(text))
 
 
 _loaded: dict[str, Encoder] = {}
