@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A comment, a tag with its attributes (quotes count only around a value), or what HTML reads as a comment. Possessive
+#: quantifiers: no input makes the match go back.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
+    |<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+)*+)(?:>|\Z)
+    |<[!?/][^>]*+(?:>|\Z)""",
+    re.S | re.X,
+)
+_ATTR = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+""")
 _NAME = re.compile(r"[a-z]+")
 # HTML's own vocabulary (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -17,45 +25,76 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body table ul ol dl div article section main nav header footer aside form".split())
-# Words in id, class and role that hint at what an element is for.
-NOISE = frozenset(
-    """ad ads advert advertisement adverts alert author aside banner bar breadcrumb breadcrumbs byline comment commenter comments consent cookie cookies copyright disclaimer discussion foot footer form gdpr header hidden legal login masthead menu
-    meta modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond response responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget""".split()
-)
-CONTENT = frozenset("article articlebody blog body content entry main post story text".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: Attribute tokens are told apart by their hash, in so many classes.
+BUCKETS = 128
+
+
+class _Open:
+    """The open elements, with the places of each tag, of scopes and of blocks, so that no question walks the stack."""
+
+    def __init__(self):
+        self.tags, self.nodes = ["#page"], [0]
+        self.at: dict[str, list[int]] = {}
+        self.scopes, self.blocks, self.links, self.unseen = [0], [0], 0, 0
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(k)
+        if tag in SCOPE:
+            self.scopes.append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+        self.links += tag == "a"
+        self.unseen += tag in UNSEEN
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.at[tag].pop()
+            for places in (self.scopes, self.blocks):
+                if places[-1] == len(self.tags):
+                    places.pop()
+            self.links -= tag == "a"
+            self.unseen -= tag in UNSEEN
+
+    def last(self, *tags: str) -> int:
+        """The place of the last open one of tags, 0 if none is."""
+        return max(places[-1] if (places := self.at.get(t)) else 0 for t in tags)
+
+
 class Page:
-    """parent, tag, depth, own hints and truth mark of each node, parents first; runs: (node, text, characters in links)."""
+    """parent, tag, depth, attribute tokens and truth mark of each node, parents first; runs: (node, text, characters in links)."""
 
-    __slots__ = ("content", "depth", "mark", "noise", "parent", "place", "runs", "sizes", "tag")
+    __slots__ = ("depth", "mark", "parent", "place", "runs", "sizes", "tag", "tokens")
 
     def __init__(self, text: str | None):
-        self.parent, self.tag, self.depth, self.noise, self.content, self.mark, self.place = [-1], ["#page"], [0], [0], [0], [None], [0]
+        self.parent, self.tag, self.depth, self.tokens, self.mark, self.place = [-1], ["#page"], [0], [0], [None], [0]
         self.runs: list[tuple[int, str, int]] = []
         self._read(text or "")
 
     def _node(self, parent: int, tag: str, attrs: str, children: list[int]) -> int:
-        noise = content = 0
-        mark = None
-        if attrs.strip(" /"):
-            for name, value in _ATTR.findall(attrs):
-                name = name.lower()
-                if name in ("id", "class", "role"):
-                    words = _NAME.findall(value.lower())
-                    noise |= any(w in NOISE for w in words)
-                    content |= any(w in CONTENT for w in words)
-                elif name == "hidden":
-                    noise = 1
-                elif name == "data-main":
-                    mark = value.strip("\"'") == "1"
+        tokens, mark = 0, None
+        for name, value in _ATTR.findall(attrs) if attrs.strip(" /") else ():
+            name = name.lower()
+            if name in ("id", "class", "role"):
+                for word in _NAME.findall(value.lower()):
+                    tokens |= 1 << zlib.crc32(word.encode()) % BUCKETS
+            elif name == "hidden":
+                tokens |= 1 << zlib.crc32(b"hidden") % BUCKETS
+            elif name == "data-main":
+                mark = value.strip("\"'") == "1"
         self.parent.append(parent)
         self.tag.append(tag)
         self.depth.append(self.depth[parent] + 1)
-        self.noise.append(int(noise))
-        self.content.append(int(content))
+        self.tokens.append(tokens)
         self.mark.append(mark)
         self.place.append(children[parent])
         children[parent] += 1
@@ -63,70 +102,61 @@ class Page:
         return len(self.parent) - 1
 
     def _read(self, text: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block node they are in
-        children, parts, linked, links, at, unseen = [0], [], 0, 0, 0, 0
+        stack = _Open()
+        children, parts, linked, at = [0], [], 0, 0
 
         def flush() -> None:
             nonlocal linked
             if parts:
                 run = " ".join(entities.unescape("".join(parts)).split())
                 if run:
-                    self.runs.append((stack[-1][1], run, linked))
+                    self.runs.append((stack.nodes[-1], run, linked))
                 parts.clear()
                 linked = 0
 
         for m in iter(lambda: _TOKEN.search(text, at), None):
-            if m.start() > at and not unseen:
+            if m.start() > at and not stack.unseen:
                 parts.append(text[at : m.start()])
-                linked += (m.start() - at) if links else 0
+                linked += (m.start() - at) if stack.links else 0
             at = m.end()
             if not m[2]:
                 continue
             tag = m[2].lower()
             if m[1]:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if not k or (tag in INLINE and any(t in SCOPE for t, _ in stack[k + 1 :])):
+                k = stack.last(tag)
+                if not k or (tag in INLINE and stack.scopes[-1] > k):
                     continue
-                if any(t not in INLINE for t, _ in stack[k:]):
+                if stack.blocks[-1] >= k:
                     flush()
-                for t, _ in stack[k:]:
-                    links -= t == "a"
-                    unseen -= t in UNSEEN
-                del stack[k:]
+                stack.cut(k)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
-                close = text.find(">", end.end() - 1) if end else -1
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+                close = text.find(">", end.end()) if end else -1
                 at = len(text) if close < 0 else close + 1
                 if tag in UNSEEN:
                     continue
-            if tag == "br" and not unseen:
+            if tag == "br" and not stack.unseen:
                 parts.append(" ")
             if tag in VOID:
-                if tag == "hr" and not unseen:
+                if tag == "hr" and not stack.unseen:
                     flush()
                 continue
             if tag in INLINE:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+                stack.push(tag, stack.nodes[-1])
                 continue
-            if not unseen:
+            if not stack.unseen:
                 flush()
-            shut = CLOSES.get(tag) or ("p",)
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in shut or (stack[i][0] in SCOPE and stack[i][0] != tag)), 0)
-            if k and stack[k][0] in shut:
-                for t, _ in stack[k:]:
-                    links -= t == "a"
-                    unseen -= t in UNSEEN
-                del stack[k:]
-            if tag == "body" and unseen:  # a head without its end
-                unseen, links = 0, 0
-                del stack[1:]
-            if (m[3] or "").rstrip().endswith("/") and tag in UNSEEN:
+            k = stack.last(*CLOSES.get(tag, ("p",)))
+            if k > stack.scopes[-1]:
+                stack.cut(k)
+            if tag == "body" and stack.unseen:  # a head without its end
+                stack.cut(1)
+            if m[3].rstrip().endswith("/") and tag in UNSEEN:
                 continue
-            unseen += tag in UNSEEN
-            stack.append((tag, stack[-1][1] if unseen else self._node(stack[-1][1], tag, m[3] or "", children)))
-        if at < len(text) and not unseen:
+            hidden = stack.unseen or tag in UNSEEN
+            stack.push(tag, stack.nodes[-1] if hidden else self._node(stack.nodes[-1], tag, m[3], children))
+        if at < len(text) and not stack.unseen:
             parts.append(text[at:])
         flush()
         self.sizes = children
@@ -138,10 +168,11 @@ class Page:
         self.runs = runs
 
     def features(self) -> np.ndarray:
-        """A row for each node: see NAMES."""
+        """A row for each node: density of its subtree, place and depth, tags of it and above, and a column for each class of
+        attribute tokens of it and above."""
         n = len(self.parent)
         parent = self.parent
-        chars, linked, stops, blocks, subs, heads, up_noise, up_content, tag_noise = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        chars, linked, stops, blocks, subs, heads, up_main, up_noise, path = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n, [0] * n
         start = [0] * n
         longest = [0] * n
         total = 0
@@ -174,19 +205,32 @@ class Page:
                 start[p] = start[v]
         for v in range(1, n):
             p = parent[v]
-            tag_noise[v] = int(tag_noise[p] or self.tag[v] in NOISE_TAGS)
-            up_noise[v] = int(up_noise[p] or self.noise[v])
-            up_content[v] = int(up_content[p] or self.content[v] or self.tag[v] in ("article", "main"))
+            path[v] = path[p] | self.tokens[v]
+            up_main[v] = int(up_main[p] or self.tag[v] in ("article", "main"))
+            up_noise[v] = int(up_noise[p] or self.tag[v] in NOISE_TAGS)
         c, k, b = np.array(chars, float), np.array(linked, float), np.array(blocks, float)
+        size = np.maximum(c, 1)
         sizes = np.array([self.sizes[p] if p >= 0 else 1 for p in parent], float)
-        return np.stack(
-            [
-                np.log1p(c), k / np.maximum(c, 1), np.array(stops) / np.maximum(c, 1) * 100, np.log1p(c / np.maximum(b, 1)), np.log1p(np.array(longest)), c / np.array(subs), np.log1p(np.array(subs)), c / max(total, 1), np.array(start) / max(total, 1),
-                np.array(self.depth), np.array(self.place) / np.maximum(sizes, 1), np.log1p(sizes), np.array(self.noise), np.array(self.content), np.array(up_noise), np.array(up_content), np.array(tag_noise), np.array(heads) > 0,
-                [t in NOISE_TAGS for t in self.tag], [t in ("article", "main") for t in self.tag], [t == "p" for t in self.tag], [t in HEADING for t in self.tag], [t in ("ul", "ol", "li", "dl") for t in self.tag], [t == "#run" for t in self.tag], [t in ("#page", "html", "body") for t in self.tag],
-            ],
-            axis=1,
-        ).astype(float)
+        columns = [
+            np.log1p(c),
+            k / size,
+            np.array(stops) / size * 100,
+            np.log1p(c / np.maximum(b, 1)),
+            np.log1p(np.array(longest)),
+            c / np.array(subs),
+            np.log1p(np.array(subs)),
+            c / max(total, 1),
+            np.array(start) / max(total, 1),
+            np.array(self.depth),
+            np.array(self.place) / np.maximum(sizes, 1),
+            np.log1p(sizes),
+            np.array(up_main),
+            np.array(up_noise),
+            np.array(heads) > 0,
+            *([t in tags for t in self.tag] for tags in (NOISE_TAGS, ("article", "main"), ("p",), HEADING, ("ul", "ol", "li", "dl"), ("#run",), ("#page", "html", "body"))),
+        ]
+        bits = np.frombuffer(b"".join(x.to_bytes(BUCKETS // 8, "little") for x in path), np.uint8).reshape(n, -1)
+        return np.concatenate([np.stack(columns, axis=1).astype(np.float32), np.unpackbits(bits, axis=1, bitorder="little").astype(np.float32)], axis=1)
 
     def truth(self) -> np.ndarray:
         """1 for what lies in a marked element, or around one; marks of 0 take out what they hold."""

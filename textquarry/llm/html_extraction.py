@@ -1,23 +1,23 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, with hierarchical decoding.
 
-Features are the densities of a node's subtree (text, links, punctuation, tags), hints in attribute tokens of the node
-and above, depth, and place among its siblings. A page is decoded as a whole: of all choices of nodes in which nothing
-below a dropped node is kept, the one with the highest sum of log odds; so an ancestor and a descendant never disagree.
+Features are the densities of a node's subtree (text, links, punctuation, tags), attribute tokens of the node and above
+(hashed into classes), depth, and place among its siblings. A page is decoded as a whole: of all choices of nodes in which
+nothing below a dropped node is kept, the one with the highest sum of log odds; so an ancestor and a descendant never disagree.
 
-The trees are fitted with Spark ML on a sample of the pages themselves, at most about ``max_pages`` (chosen by a hash of
-the markup). Pages that mark their article with an ``article`` or ``main`` element teach what main text looks like; each
-is also shown in variants, in which the same text stands in other wrappers, without such a mark, and with menus,
-sidebars, notices, forms and reader comments made of the sample's own words, so that the trees learn from more than tags.
-The fitted trees have a fixed bound and are sent along with the tasks; extraction covers every page and shuffles nothing.
+The trees are fitted with Spark ML on a sample of the pages themselves, at most ``max_pages``: those with the smallest
+hashes, pages that mark their article with an ``article`` or ``main`` element before others. Each sampled page is also
+shown in variants, in which its text (that of the marked element, else all of it) stands in other wrappers, with and
+without such a mark, among menus, sidebars, notices, forms and reader comments made of the page's own words, so that the
+trees learn from more than tags. The fitted trees have a fixed bound and are sent along with the tasks; extraction covers
+every page and shuffles nothing.
 
 Cases: null or empty markup, and pages without main text, give an empty text; markup that is cut off is read as far as
-it goes; repeated pages give repeated results; without a page to learn from, article and main elements and noise tags
-decide; an empty table gives an empty table; a column named like a result is replaced.
+it goes; repeated pages give repeated results; without any page to learn from, all visible text is main text; an empty
+table gives an empty table; nesting of any depth takes time in proportion; a column named like a result is replaced.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import zlib
@@ -28,21 +28,40 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, per_value, table
+from .common import forget, materialise, per_value, table
 from .dom import Page
 
 _MAIN = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _PARA = re.compile(r"<p\b[^>]*>(.*?)(?=<p\b|</p|\Z)", re.S | re.I)
 
 
+# Names that sites give to boxes beside the main text, and to the main text (fixed values, for the variants).
+BOXES = {
+    "ad": "ad ads advert advertisement adverts banner sponsor sponsored promo promoted promotion".split(),
+    "side": "sidebar aside widget related recommended toolbar".split(),
+    "notice": "notice notices alert cookie cookies consent gdpr newsletter popup modal subscribe signup login legal disclaimer".split(),
+    "links": "share sharing social tags breadcrumb breadcrumbs pagination pager meta byline author".split(),
+    "comments": "comments discussion responses replies respond".split(),
+    "comment": "comment reply response commenter".split(),
+    "top": "menu nav navbar navigation header masthead topbar skip search".split(),
+    "foot": "footer foot copyright".split(),
+}
+MAIN_NAMES = "article articlebody blog body content entry main post story text".split()
+_TAGS = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.S | re.I)
+
+
 def variants(markup: str, n: int = 5) -> list[str]:
-    """The page with its main element marked, and n rearrangements of it; by the page's own seed."""
+    """The page with its main element marked, where it has one, and n rearrangements of its text; by the page's own seed."""
     m = _MAIN.search(markup)
-    if not m:
-        return []
     rng = random.Random(zlib.crc32(markup.encode("utf-8", "surrogatepass")))
-    out = [markup[: m.start()] + f"<{m[1]} data-main=1>" + markup[m.start(2) :]]
-    words = re.sub(r"<[^>]*>", " ", m[2]).split() or ["x"]
+    words = (_TAGS.sub(" ", m[2] if m else markup)).split()
+    if not words:
+        return []
+    if m:
+        out, article = [markup[: m.start()] + f"<{m[1]} data-main=1>" + markup[m.start(2) :]], m[2]
+    else:
+        ends = sorted({min(len(words), rng.randint(1, 60) + 60 * i) for i in range(len(words) // 60 + 1)} | {len(words)})
+        out, article = [], "".join(f"<p>{' '.join(words[a:b])}</p>" for a, b in zip([0, *ends], ends, strict=False) if a < b)
 
     def say(least: int, most: int) -> str:
         k, i = rng.randint(least, most), rng.randrange(len(words))
@@ -53,28 +72,34 @@ def variants(markup: str, n: int = 5) -> list[str]:
 
     pick = rng.choice
 
+    def named(kind: str) -> str:
+        """A class or id of the kind, often with another word at it."""
+        name = pick(BOXES[kind])
+        name = pick([name, name, f"{name}-{pick(['box', 'list', 'left', 'inner', 'wrap', 'block'])}", f"{pick(['site', 'page', 'js', 'the'])}_{name}", f"{name} {pick(BOXES[kind])}"])
+        return f'{pick(["class", "class", "id"])}="{name}"'
+
     def noise() -> str:
         kind = rng.randrange(9)
         if kind == 0:
-            return f'<div class="{pick(["ad", "advert", "sponsored", "promo-box", "banner"])}">{say(3, 30)}</div>'
+            return f"<div {named('ad')}>{say(3, 30)}</div>"
         if kind == 1:
-            return f'<aside{pick(["", " class=sidebar", " id=related"])}><h3>{say(1, 3)}</h3><ul>{links(rng.randint(3, 8))}</ul><p>{say(5, 40)}</p></aside>'
+            return f"<aside {pick(['', named('side')])}><h3>{say(1, 3)}</h3><ul>{links(rng.randint(3, 8))}</ul><p>{say(5, 40)}</p></aside>"
         if kind == 2:
-            return f'<div class="{pick(["sidebar", "widget", "related-posts", "side-bar left"])}"><h2>{say(1, 4)}</h2><p>{say(5, 50)}</p><ul>{links(rng.randint(2, 8))}</ul></div>'
+            return f"<div {named('side')}><h2>{say(1, 4)}</h2><p>{say(5, 50)}</p><ul>{links(rng.randint(2, 8))}</ul></div>"
         if kind == 3:
-            return f'<div class="{pick(["notice", "cookie-notice", "alert", "consent-banner", "newsletter"])}"><p>{say(5, 40)}</p><button>{say(1, 2)}</button></div>'
+            return f"<div {named('notice')}><p>{say(5, 40)}</p><button>{say(1, 2)}</button></div>"
         if kind == 4:
             return f'<form action="/s"><label>{say(1, 4)}</label><input name="q"><p>{say(3, 20)}</p><button>{say(1, 1)}</button></form>'
         if kind == 5:
-            return f'<div><ul>{links(rng.randint(3, 10))}</ul></div>'
+            return f"<div><ul>{links(rng.randint(3, 10))}</ul></div>"
         if kind == 6:
-            return f'<div class="{pick(["share", "social", "tags", "breadcrumbs", "pagination"])}"><a href="#">{say(1, 2)}</a> <a href="#">{say(1, 2)}</a></div>'
-        box = pick(["comments", "comment-list", "discussion", "responses", "reader-comments"])
-        one = pick(["comment", "reply", "comment-body"])
-        return f"<{(t := pick(['section', 'div', 'ol']))} {pick(['id', 'class'])}=\"{box}\"><h3>{say(1, 3)}</h3>" + "".join(f'<div class="{one}"><p>{say(4, 60)}</p></div>' for _ in range(rng.randint(1, 6))) + f"</{t}>"
+            return f"<div {named('links')}><a href='#'>{say(1, 2)}</a> <a href='#'>{say(1, 2)}</a></div>"
+        box = pick(["section", "div", "ol"])
+        replies = "".join(f"<div {named('comment')}><p>{say(4, 60)}</p></div>" for _ in range(rng.randint(1, 6)))
+        return f"<{box} {named('comments')}><h3>{say(1, 3)}</h3>{replies}</{box}>"
 
     for _ in range(n):
-        body = m[2]
+        body = article
         for spot in [p.start() for p in _PARA.finditer(body)][::-1]:
             if rng.random() < 0.15:
                 own = [f"<h2>{say(1, 6)}</h2>", "<ul>" + "".join(f"<li>{say(3, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>", f"<blockquote>{say(8, 50)}</blockquote>", f"<blockquote><p>{say(8, 50)}</p></blockquote>"]
@@ -82,12 +107,25 @@ def variants(markup: str, n: int = 5) -> list[str]:
                 body = body[:spot] + pick(own) + body[spot:]
             if rng.random() < 0.06:
                 body = body[:spot] + noise().replace(">", " data-main=0>", 1) + body[spot:]
-        wrap = pick(["article", "main", 'div class="content"', 'div class="post-body"', 'section id="story"', "div", 'div class="entry"', "section"])
+        own_name = f'{pick(["class", "id"])}="{pick(MAIN_NAMES)}{pick(["", "-body", "-inner", " wide"])}"'
+        wrap = pick(["article", "main", f"div {own_name}", f"div {own_name}", f"section {own_name}", "div", "section"])
         end = wrap.split()[0]
         inner = f"<{wrap} data-main=1>{body}</b></{end}>"
         inner = pick([inner, f'<div id="wrap"><div>{inner}</div></div>', f"<main>{inner}</main>"])
-        top = pick([f"<nav><ul>{links(6)}</ul></nav>", f'<div class="menu"><ul>{links(5)}</ul></div>', f"<header><h1>{say(1, 4)}</h1><p>{say(2, 12)}</p><nav>{links(4)}</nav></header>", f'<div id="header"><a href="/">{say(1, 3)}</a><ul class="navbar">{links(7)}</ul></div>', f'<header class="site"><p>{say(1, 8)}</p></header>'])
-        foot = pick([f"<footer>&copy; {say(1, 6)}</footer>", f'<div class="footer"><p>{say(3, 25)}</p></div>', f'<footer><p>{say(3, 20)}</p><ul>{links(4)}</ul></footer>', f'<div id="copyright">{say(2, 10)}</div>'])
+        tops = [
+            f"<nav><ul>{links(6)}</ul></nav>",
+            f"<div {named('top')}><ul>{links(5)}</ul></div>",
+            f"<header><h1>{say(1, 4)}</h1><p>{say(2, 12)}</p><nav>{links(4)}</nav></header>",
+            f"<div {named('top')}><a href='/'>{say(1, 3)}</a><ul {named('top')}>{links(7)}</ul></div>",
+            f"<header><p>{say(1, 8)}</p></header>",
+        ]
+        feet = [
+            f"<footer>&copy; {say(1, 6)}</footer>",
+            f"<div {named('foot')}><p>{say(3, 25)}</p></div>",
+            f"<footer><p>{say(3, 20)}</p><ul>{links(4)}</ul></footer>",
+            f"<div {named('foot')}>{say(2, 10)}</div>",
+        ]
+        top, foot = pick(tops), pick(feet)
         before, after = ("".join(noise() for _ in range(rng.randint(0, 2))) for _ in range(2))
         out.append(f"<html><body>{top}{before}{inner}{after}{foot}</body></html>")
     return out
@@ -119,8 +157,8 @@ class Trees:
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Log odds of each row."""
-        if not self.roots:  # nothing learnt: outside noise, in marked elements or around them
-            return np.where((x[:, 14] > 0) | (x[:, 16] > 0), -1.0, np.where((x[:, 15] > 0) | (x[:, 24] > 0), 1.0, -0.1))
+        if not self.roots:  # nothing learnt
+            return np.ones(len(x))
         at = np.tile(np.array(self.roots), (len(x), 1))
         rows = np.arange(len(x))[:, None]
         while True:
@@ -130,25 +168,31 @@ class Trees:
             at = new
 
 
-def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, trees: int = 16, depth: int = 5) -> Trees:
-    """Boosted trees from at most about max_pages pages that mark their main text."""
-    marked = pages.filter(F.lower(html).rlike("<(article|main)[ >]")).select(F.col(html).alias("html"))
-    share = min(1.0, max_pages / max(1, marked.count()))
-    sample = marked.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, max_nodes: int = 500, trees: int = 16, depth: int = 5) -> Trees:
+    """Boosted trees from at most max_pages pages, and of each of their variants at most max_nodes nodes."""
+    held = pages.filter(F.length(html) > 0).select(F.col(html).alias("html"), F.lower(html).rlike("<(article|main)[ >]").alias("marked"), F.xxhash64(html).alias("h"))
+    sample = materialise(held.orderBy(F.desc("marked"), "h", "html").limit(max_pages).select("html"))
 
     def nodes(markup: str) -> list[tuple]:
-        found = [Page(v) for v in variants(markup)]
-        return [(truth, x.tolist()) for page in found for truth, x in zip(page.truth().tolist(), page.features(), strict=True)]
-
-    rows = materialise(per_value(sample, "html", {"label": "double", "x": "array<double>"}, lambda: nodes, many=True).coalesce(2))
-    train = rows.select("label", array_to_vector("x").alias("features"))
-    if len(train.select("label").distinct().limit(2).collect()) < 2:
+        out = []
+        for v in variants(markup):
+            page = Page(v)
+            truth, x = page.truth(), page.features().astype(np.float64)
+            some = np.random.default_rng(1).permutation(len(x))[:max_nodes]
+            out += zip(truth[some].tolist(), x[some], strict=True)
+        return out
+
+    rows = materialise(per_value(sample.repartition(16), "html", {"label": "double", "x": "array<double>"}, lambda: nodes, many=True))
+    forget(sample)
+    train = rows.select("label", array_to_vector("x").alias("features")).coalesce(8)
+    if len(rows.select("label").distinct().limit(2).collect()) < 2:
         return Trees()
     train = train.persist()
     try:
         return Trees(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(train))
     finally:
         train.unpersist()
+        forget(rows)
 
 
 def extract(pages: DataFrame, trees: Trees, html: str = "html", keep: bool = False) -> DataFrame:

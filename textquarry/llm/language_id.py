@@ -1,111 +1,183 @@
 """Language identification by word-first backoff.
 
-A word that the model knows scores by its log frequency in each language. An unseen word falls back to its character
-n-grams, the longest first: the first length of which the model knows any n-gram scores it by the mean over the n-grams
-it has of that length. A text's score in a language is the mean over its words.
+A word is a letter with the letters and marks after it, in lower case; fitting and prediction share that rule. A word that
+the model knows scores by its log frequency in each language. An unseen word falls back to its character n-grams, the
+longest first: the first length of which the model knows any n-gram scores it by the mean over the n-grams it has of that
+length. A text's score in a language is the mean over its words; the confidence is the share of the best language when
+the means, weighted by the root of the number of words, are read as log likelihoods.
 
-Fitting: word and n-gram counts are DataFrame aggregations over a sample of labelled rows that is bounded by
-``max_docs`` (chosen by a hash of the text); the model keeps the ``max_words`` and ``max_grams`` most frequent, so what
-is broadcast has a fixed bound and does not grow with the corpus. Prediction covers all rows and shuffles nothing.
+Fitting: word and n-gram counts are aggregations over a sample of labelled rows: for each label value the ``docs_each``
+rows with the smallest hashes of id and text, so a rare language is learned whatever its share, the bound is exact however
+often a text is copied, and the model (all words and n-grams of the sample) has a size that does not grow with the
+corpus. Prediction covers all rows and shuffles nothing.
 
 Cases: null text or one without letters is ``und`` with score 0; ties go to the language that is first by code point;
-repeated rows are scored alike; without labelled rows every text is ``und``; further columns pass through, one named
-like a result is replaced.
+repeated rows are scored alike; without labelled rows every text is ``und``; very long texts are read in parts; an empty
+table gives an empty table; further columns pass through, one named like a result is replaced.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_value, table
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: The same rule twice: in Latin-1 there are no marks, and plain ``re`` is faster there.
+_WORD, _LATIN_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile("[a-zªµºß-öø-ÿ]+")
+_BREAK = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 UNKNOWN = "und"
+#: Code points of texts whose words are looked up at once.
+PART = 1 << 20
+
+
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    low = text.lower()
+    try:
+        low.encode("latin-1")
+        return _LATIN_WORD.findall(low)
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
+
+
+def _parts(text: str) -> list[str]:
+    out, at = [], 0
+    while len(text) - at > PART:
+        m = _BREAK.search(text, at + PART)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:]]
 
 
 class Model:
     """Log10 frequencies of words and n-grams in each language."""
 
-    def __init__(self, langs: list[str], words: list[tuple[str, dict]], grams: list[tuple[str, dict]], totals: dict, lengths: tuple[int, ...], cache: int = 100_000):
+    def __init__(self, langs: list[str], words: list[str], word_counts: np.ndarray, grams: list[str], gram_counts: np.ndarray, lengths: tuple[int, ...], cache: int = 200_000):
         self.langs, self.lengths, self.cache_size = langs, lengths, cache
-        lowest = [1.0 + max([0.0, *(math.log10(n) for n in totals.get("word", {}).values())])]
-
-        def row(found: dict, total: dict) -> list[float]:
-            return [math.log10(found[x] / total[x]) if found.get(x) else -lowest[0] for x in langs]
-
-        self.words = {w: i for i, (w, _) in enumerate(words)}
-        self.base = np.array([row(f, totals["word"]) for _, f in words], np.float64).reshape(len(words), len(langs))
-        self.grams = {g: np.array(row(f, totals[len(g)])) for g, f in grams}
-        self.nothing = np.full(len(langs), -lowest[0])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index, self.extra = dict(self.words), []
-
-    def _back_off(self, word: str) -> np.ndarray:
-        padded = f" {word} "
-        for n in self.lengths:
-            known = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return self.nothing
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        if len(self.extra) > self.cache_size:
-            self._reset()
-        at = list(map(self.index.get, words))
-        n = len(self.words)
-        if None in at:
-            for i, x in enumerate(at):
-                if x is None:
-                    w = words[i]
-                    if w not in self.index:
-                        self.index[w] = n + len(self.extra)
-                        self.extra.append(self._back_off(w))
-                    at[i] = self.index[w]
-        at = np.array(at)
-        total = self.base[at[at < n]].sum(axis=0)
-        for i in at[at >= n].tolist():
-            total = total + self.extra[i - n]
-        mean = total / len(words)
-        scaled = (mean - mean.max()) * math.log(10) * min(len(words), 10)
-        best = int(mean.argmax())
-        return self.langs[best], float(1.0 / np.exp(scaled).sum())
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 20_000, lengths: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
-    """A model from at most about max_docs labelled rows; lengths: those of the n-grams, as they are tried."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    share = min(1.0, max_docs / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
-    counts = materialise(sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")))
+        totals = word_counts.sum(axis=0, keepdims=True)
+        lowest = -1.0 - np.log10(max(1.0, float(totals.max(initial=0))))
+
+        def logs(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+            share = np.divide(counts, total, out=np.zeros(counts.shape), where=total > 0)
+            return np.log10(share, out=np.full(counts.shape, lowest), where=share > 0)
+
+        self.words, self.base = words, logs(word_counts, totals)
+        size = np.array([len(g) for g in grams], np.int64)
+        by_length = np.zeros(gram_counts.shape)
+        for n in lengths:
+            by_length[size == n] = gram_counts[size == n].sum(axis=0)
+        self.grams, self.gram_base = {g: i for i, g in enumerate(grams)}, np.vstack([logs(gram_counts, by_length), np.full((1, len(langs)), lowest)])
+        self.index: dict[str, int] | None = None
+
+    def _start(self) -> None:
+        """The words' rows; then a ring of rows for unseen words, in which the newest take the place of the oldest."""
+        self.index = {w: i for i, w in enumerate(self.words)}
+        self.rows = np.vstack([self.base, np.zeros((self.cache_size, len(self.langs)))])
+        self.held: list[str | None] = [None] * self.cache_size
+        self.next = 0
+
+    def _back_off(self, unseen: list[str]) -> np.ndarray:
+        """A row for each unseen word: the mean of the n-grams it has of the longest known length."""
+        get, found, counts = self.grams.get, [], []
+        for word in unseen:
+            padded, known = f" {word} ", []
+            for n in self.lengths:
+                known = [g for i in range(len(padded) - n + 1) if (g := get(padded[i : i + n])) is not None]
+                if known:
+                    break
+            known = known or [len(self.grams)]  # nothing known: as rare as can be in every language
+            found += known
+            counts.append(len(known))
+        n = np.array(counts, np.int64)
+        return np.add.reduceat(self.gram_base[np.array(found)], np.cumsum(n) - n, axis=0) / n[:, None]
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(at < 0)
+        out = self.rows[at]
+        if len(missed):
+            new = {w: i for i, w in enumerate(dict.fromkeys([words[i] for i in missed.tolist()]))}
+            rows = self._back_off(list(new))
+            out[missed] = rows[[new[words[i]] for i in missed.tolist()]]
+            for w, row in zip(list(new)[: self.cache_size], rows, strict=False):
+                if self.held[self.next] is not None:
+                    del self.index[self.held[self.next]]
+                place = len(self.words) + self.next
+                self.held[self.next], self.index[w], self.rows[place] = w, place, row
+                self.next = (self.next + 1) % self.cache_size
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if self.index is None:
+            self._start()
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        owners: list[int] = []
+        ends: list[int] = []
+        chars = 0
+
+        def flush() -> None:
+            if words:
+                starts = np.r_[0, ends[:-1]].astype(np.int64)
+                np.add.at(total, owners, np.add.reduceat(self._scores(words), starts, axis=0))
+                np.add.at(n, owners, np.diff(np.r_[0, ends]))
+            words.clear(), owners.clear(), ends.clear()
+
+        for i, text in enumerate(texts if self.langs else []):
+            for part in _parts(text) if text else []:
+                if own := words_of(part):
+                    words.extend(own)
+                    owners.append(i)
+                    ends.append(len(words))
+                chars += len(part)
+                if chars >= PART:
+                    flush()
+                    chars = 0
+        flush()
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        mean = total / np.maximum(n, 1)[:, None]
+        best = mean.argmax(axis=1)
+        share = 1 / np.exp((mean - mean.max(axis=1, keepdims=True)) * np.log(10) * np.sqrt(n)[:, None]).sum(axis=1)
+        return [(self.langs[b], s) if k else (UNKNOWN, 0.0) for b, s, k in zip(best.tolist(), share.tolist(), n.tolist(), strict=True)]
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 1_000, lengths: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
+    """A model from at most docs_each labelled rows of each language; lengths: those of the n-grams, as they are tried."""
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
+    sample = rows.withColumn("n", first).filter(F.col("n") <= docs_each).select("l", "t")
+    counted = per_value(sample, "t", {"w": "string", "n": "long"}, lambda: lambda t: list(Counter(words_of(t)).items()), many=True)
+    counts = materialise(counted.groupBy("l", "w").agg(F.sum("n").alias("n")))
+    langs = sorted(r[0] for r in counts.select("l").distinct().collect())  # a row for each language
     padded = counts.withColumn("p", F.concat(F.lit(" "), "w", F.lit(" ")))
-    pieces = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (k - 1), F.lit(1))), lambda i, k=k: F.substring(F.col("p"), i, F.lit(k))) for k in lengths]))
-    grams = padded.filter(F.length("w") <= 64).select("l", "n", F.explode(pieces).alias("w")).filter(F.length("w").isin(*lengths)).groupBy("l", "w").agg(F.sum("n").alias("n"))
-    grams = materialise(grams)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("p"), i, F.lit(k)))
+    pieces = F.flatten(F.array(*[F.filter(cut(k), lambda g, k=k: F.length(g) == k) for k in lengths]))
+    grams = padded.select("l", "n", F.explode(pieces).alias("w"))
 
-    def top(df: DataFrame, most: int, least: int) -> list[tuple[str, dict]]:
-        by = df.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
-        return [(r["w"], r["by"]) for r in by.filter(F.col("all") >= least).orderBy(F.desc("all"), "w").limit(most).collect()]
+    def by_language(df: DataFrame) -> tuple[list[str], np.ndarray]:
+        """Bounded by the sample: a row for each word or n-gram in it."""
+        cols = [F.coalesce(F.sum(F.when(F.col("l") == x, F.col("n"))), F.lit(0)).cast("double").alias(f"_{i}") for i, x in enumerate(langs)]
+        t = df.groupBy("w").agg(*cols).orderBy("w").toArrow()
+        return t["w"].to_pylist(), np.stack([t[f"_{i}"].to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
 
-    totals: dict = {"word": {r[0]: r[1] for r in counts.groupBy("l").agg(F.sum("n")).collect()}}
-    for r in grams.groupBy(F.length("w"), "l").agg(F.sum("n")).collect():
-        totals.setdefault(r[0], {})[r[1]] = r[2]
-    return Model(sorted(totals["word"]), top(counts, max_words, 2), top(grams, max_grams, 2), totals, lengths)
+    return Model(langs, *by_language(counts), *by_language(grams), lengths)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return per_value(df, text, {"lang_pred": "string", "score": "double"}, lambda: shared.value.predict, keep=keep_text)
+    return per_value(df, text, {"lang_pred": "string", "score": "double"}, lambda: shared.value.predict, keep=keep_text, together=True)
 
 
 def held_out(key: str = "doc_id"):
