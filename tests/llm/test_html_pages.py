@@ -2,6 +2,7 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 
@@ -73,7 +74,9 @@ PAGES = {
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    """Fitted on pages that are none of those tested: other words, one plain layout with an article mark, and one without any mark."""
+    """Fitted on pages that are none of those tested: the driver's, or made ones in one plain layout, some without any mark."""
+    if Path("/root/testdata/sf0.01").is_dir():
+        return html_extraction.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     rnd = random.Random(3)
     words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "re") for b in ("nt", "st", "ra", "l") for c in ("a", "en", "is")]
 
@@ -124,7 +127,7 @@ def test_sample_is_bounded_however_often_a_page_is_copied(spark, monkeypatch):
 def test_time_grows_with_the_page(unit):
     began = time.perf_counter()
     p = Page(unit * 50_000 + "end")
-    p.decode(p.features()[:, 0] if p.runs else [])
+    p.decode(p.features()[:, 0])
     assert time.perf_counter() - began < 20
 
 

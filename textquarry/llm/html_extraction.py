@@ -1,7 +1,8 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, with hierarchical decoding.
 
 Features are the densities of a node's subtree (text, links, punctuation, tags), attribute tokens of the node and above
-(hashed into classes), depth, and place among its siblings. A page is decoded as a whole: of all choices of nodes in which
+(hashed into classes, each with the log odds that the sample gives it; the trees see the least, the greatest and the sum),
+depth, and place among its siblings. A page is decoded as a whole: of all choices of nodes in which
 nothing below a dropped node is kept, the one with the highest sum of log odds; so an ancestor and a descendant never disagree.
 
 The trees are fitted with Spark ML on a sample of the pages themselves, at most ``max_pages``: those with the smallest
@@ -18,6 +19,7 @@ table gives an empty table; nesting of any depth takes time in proportion; a col
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, per_value, table
-from .dom import Page
+from .dom import BUCKETS, Page
 
 _MAIN = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _PARA = re.compile(r"<p\b[^>]*>(.*?)(?=<p\b|</p|\Z)", re.S | re.I)
@@ -50,7 +52,7 @@ MAIN_NAMES = "article articlebody blog body content entry main post story text".
 _TAGS = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.S | re.I)
 
 
-def variants(markup: str, n: int = 5) -> list[str]:
+def variants(markup: str, n: int = 8) -> list[str]:
     """The page with its main element marked, where it has one, and n rearrangements of its text; by the page's own seed."""
     m = _MAIN.search(markup)
     rng = random.Random(zlib.crc32(markup.encode("utf-8", "surrogatepass")))
@@ -105,7 +107,7 @@ def variants(markup: str, n: int = 5) -> list[str]:
                 own = [f"<h2>{say(1, 6)}</h2>", "<ul>" + "".join(f"<li>{say(3, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>", f"<blockquote>{say(8, 50)}</blockquote>", f"<blockquote><p>{say(8, 50)}</p></blockquote>"]
                 own += [f"<table><tr><th>{say(1, 2)}<th>{say(1, 2)}</tr><tr><td>{say(1, 9)}<td>{say(1, 9)}</tr></table>", f"<pre>{say(5, 40)}</pre>", f"<p>{say(1, 6)}</p>", f"<h3>{say(1, 5)}</h3>", f"<figure><figcaption>{say(3, 12)}</figcaption></figure>"]
                 body = body[:spot] + pick(own) + body[spot:]
-            if rng.random() < 0.06:
+            if rng.random() < 0.1:
                 body = body[:spot] + noise().replace(">", " data-main=0>", 1) + body[spot:]
         own_name = f'{pick(["class", "id"])}="{pick(MAIN_NAMES)}{pick(["", "-body", "-inner", " wide"])}"'
         wrap = pick(["article", "main", f"div {own_name}", f"div {own_name}", f"section {own_name}", "div", "section"])
@@ -134,7 +136,8 @@ def variants(markup: str, n: int = 5) -> list[str]:
 class Trees:
     """Boosted regression trees as flat arrays, evaluated over all nodes and trees at once."""
 
-    def __init__(self, model=None):
+    def __init__(self, model=None, evidence: list[float] | None = None):
+        self.evidence = np.array(evidence or [0.0] * BUCKETS)
         self.weights, rows, self.roots = [], [], []
         for weight, tree in zip(model.treeWeights, model.trees, strict=True) if model else []:
             self.weights.append(weight)
@@ -159,6 +162,8 @@ class Trees:
         """Log odds of each row."""
         if not self.roots:  # nothing learnt
             return np.ones(len(x))
+        told = x[:, -BUCKETS:] * self.evidence
+        x = np.concatenate([x[:, :-BUCKETS], told.min(axis=1)[:, None], told.max(axis=1)[:, None], told.sum(axis=1)[:, None]], axis=1)
         at = np.tile(np.array(self.roots), (len(x), 1))
         rows = np.arange(len(x))[:, None]
         while True:
@@ -168,7 +173,7 @@ class Trees:
             at = new
 
 
-def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, max_nodes: int = 500, trees: int = 16, depth: int = 5) -> Trees:
+def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, max_nodes: int = 500, trees: int = 24, depth: int = 5) -> Trees:
     """Boosted trees from at most max_pages pages, and of each of their variants at most max_nodes nodes."""
     held = pages.filter(F.length(html) > 0).select(F.col(html).alias("html"), F.lower(html).rlike("<(article|main)[ >]").alias("marked"), F.xxhash64(html).alias("h"))
     sample = materialise(held.orderBy(F.desc("marked"), "h", "html").limit(max_pages).select("html"))
@@ -184,12 +189,19 @@ def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, max_nodes: i
 
     rows = materialise(per_value(sample.repartition(16), "html", {"label": "double", "x": "array<double>"}, lambda: nodes, many=True))
     forget(sample)
-    train = rows.select("label", array_to_vector("x").alias("features")).coalesce(8)
-    if len(rows.select("label").distinct().limit(2).collect()) < 2:
+    bit = [F.col("x")[F.size("x") - BUCKETS + i] for i in range(BUCKETS)]
+    seen = rows.agg(F.count(F.lit(1)), F.sum("label"), *(F.sum(b) for b in bit), *(F.sum(b * F.col("label")) for b in bit)).first()
+    n, main = seen[0], seen[1] or 0.0
+    if not 0 < main < n:
         return Trees()
+    evidence = [math.log((good + 1) / (all_ - good + 1)) - math.log(main / (n - main)) if all_ else 0.0 for all_, good in zip(seen[2 : 2 + BUCKETS], seen[2 + BUCKETS :], strict=True)]
+    told = F.zip_with(F.slice("x", F.size("x") - BUCKETS + 1, BUCKETS), F.array(*[F.lit(float(e)) for e in evidence]), lambda b, e: b * e).alias("told")
+    held = rows.select("label", F.slice("x", 1, F.size("x") - BUCKETS).alias("x"), told)
+    summed = F.array(F.array_min("told"), F.array_max("told"), F.aggregate("told", F.lit(0.0), lambda a, v: a + v))
+    train = held.select("label", array_to_vector(F.concat("x", summed)).alias("features")).coalesce(8)
     train = train.persist()
     try:
-        return Trees(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(train))
+        return Trees(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(train), evidence)
     finally:
         train.unpersist()
         forget(rows)

@@ -24,7 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_value, table
@@ -156,20 +156,32 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """A model from at most docs_each labelled rows of each language; lengths: those of the n-grams, as they are tried."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
-    sample = rows.withColumn("n", first).filter(F.col("n") <= docs_each).select("l", "t")
+    least = rows.select("l", "h", "k").withColumn("n", first).filter(F.col("n") <= docs_each)  # sorts hashes, not texts
+    marks = least.groupBy("l").agg(F.max("h").alias("mark")).collect()  # a row for each language
+    near = F.lit(False)
+    for r in marks:
+        near = near | ((F.col("l") == r["l"]) & (F.col("h") <= r["mark"]))
+    sample = rows.filter(near).withColumn("n", first).filter(F.col("n") <= docs_each).select("l", "t")
     counted = per_value(sample, "t", {"w": "string", "n": "long"}, lambda: lambda t: list(Counter(words_of(t)).items()), many=True)
     counts = materialise(counted.groupBy("l", "w").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in counts.select("l").distinct().collect())  # a row for each language
+    if not langs:
+        return Model([], [], np.zeros((0, 0)), [], np.zeros((0, 0)), lengths)
     padded = counts.withColumn("p", F.concat(F.lit(" "), "w", F.lit(" ")))
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("p"), i, F.lit(k)))
-    pieces = F.flatten(F.array(*[F.filter(cut(k), lambda g, k=k: F.length(g) == k) for k in lengths]))
+
+    def of_length(k: int) -> Column:
+        """The n-grams of one length. (A lambda's second parameter would be the element's index.)"""
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("p"), i, F.lit(k)))
+        return F.filter(each, lambda g: F.length(g) == k)
+
+    pieces = F.flatten(F.array(*map(of_length, lengths)))
     grams = padded.select("l", "n", F.explode(pieces).alias("w"))
 
     def by_language(df: DataFrame) -> tuple[list[str], np.ndarray]:
         """Bounded by the sample: a row for each word or n-gram in it."""
         cols = [F.coalesce(F.sum(F.when(F.col("l") == x, F.col("n"))), F.lit(0)).cast("double").alias(f"_{i}") for i, x in enumerate(langs)]
         t = df.groupBy("w").agg(*cols).orderBy("w").toArrow()
-        return t["w"].to_pylist(), np.stack([t[f"_{i}"].to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+        return t["w"].to_pylist(), np.stack([t[f"_{i}"].to_numpy() for i in range(len(langs))], axis=1)
 
     return Model(langs, *by_language(counts), *by_language(grams), lengths)
 
