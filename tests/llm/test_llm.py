@@ -12,8 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textquarry.llm import ann, graph, html_extraction, language_id, line_dedup, media, mixing, near_copies, packing, simhash, suffix_dedup, token_counts
-from textquarry.llm.dom import Page
+from textquarry.llm import graph, line_dedup, media, mixing, near_copies, packing, simhash, suffix_dedup, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 ODD = [None, "", " ", "a", "Ünï çödé ß Σας", "a<|endoftext|>b <|startoftext|>", "don't I'LL x y", "日本語 ok 1½", "x" * 3000, "the cat sat on the mat", "the cat sat on the mat"]
@@ -49,18 +48,6 @@ def test_line_dedup_counts_copies_once(spark):
     assert [r["text"][:4] for r in corpus_pipeline.drop_boilerplate(spark, twice, "").collect()] == ["menu"] * 12  # 3 texts are fewer than 5 pages
 
 
-def test_language_id(spark):
-    rnd = random.Random(1)
-    vocab = {"en": "the and of that with this from have there which".split(), "fr": "le la les des une dans pour avec être très".split()}
-    rows = [(i, " ".join(rnd.choices(vocab[k], k=20)), k) for i in range(200) for k in [rnd.choice(["en", "fr"])]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.fit(df)
-    got = language_id.predict(df.unionByName(spark.createDataFrame([(900, None, None), (901, "123 ...", None), (902, "therewith", None)], df.schema)), model).collect()
-    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"]) and all(0 <= r["score"] <= 1 for r in got)
-    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] >= 900} == {900: "und", 901: "und", 902: "en"}
-    assert [r["lang_pred"] for r in language_id.predict(odd(spark), language_id.fit(odd(spark))).collect()] == ["und"] * len(ODD)
-
-
 def test_token_counts(spark):
     path = P.path("word_bpe_49k.json")
     prefixes = token_counts.loaded(path)
@@ -154,29 +141,6 @@ def test_suffix_dedup(spark, most):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_nearest_neighbours(spark):
-    rnd = np.random.default_rng(0)
-    x = rnd.normal(size=(1500, 16)).astype(np.float32)
-    x[100:160] = x[100]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5100, [1.0, 2.0]), (None, x[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = defaultdict(list)
-    for r in ann.search_index(ann.build_index(df, 3), df.filter("vec_id % 100 = 0"), 3).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 1500, 100))
-    hit = 0
-    for q, found in got.items():
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        d[q] = np.inf
-        want = np.lexsort((np.arange(len(d)), d))[:10].tolist()
-        hit += len(set(want) & {v for v, _ in found})
-        assert len(found) == 10 and all(abs(d[v] - s) < 1e-9 for v, s in found)
-        if q == 100:
-            assert [v for v, _ in found] == want
-    assert hit >= 0.9 * 10 * len(got)
-    assert ann.search_index(ann.build_index(df.limit(0), 1), df.limit(0), 1).count() == 0
-
-
 def brute_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -319,34 +283,6 @@ def test_best_fit_is_best_fit():
     assert sorted(64 - v for v in made.values()) == sorted(open_)
 
 
-def test_html_extraction():
-    page = Page("<body><p>a &amp; b<b>c<br>d<p>e<div>x<script>1<2</script> y</div><ul><li>i<li>j</ul><!-- no --></body>")
-    assert [r[1] for r in page.runs] == ["a & bc d", "e", "x y", "i", "j"]
-    assert Page(None).runs == [] and Page("<html><head><title>t").runs == []
-    trees = html_extraction.Trees()
-    p = Page("<body><nav>menu</nav><article><h1>T</h1><p>one</p><p>two</p></article><footer>f</footer></body>")
-    assert p.decode(trees.odds(p.features())) == "T\none\ntwo"
-
-
-def test_html_learns_what_the_pages_mark(spark):
-    from pathlib import Path
-
-    sf = "/root/testdata/sf0.001"
-    if not Path(sf).is_dir():
-        pytest.skip("no driver tables")
-    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("text", F.lit("clash"))
-    trees = html_extraction.fit(pages, max_pages=25, trees=8, depth=4)
-    right = 0
-    rows = html_extraction.extract(pages, trees, keep=True).collect()
-    for r in rows:
-        body = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
-        import html
-
-        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)\b[^>]*>", body)]
-        right += r["text"] == "\n".join(p for p in parts if p)
-    assert right >= 0.95 * len(rows)
-
-
 def test_mix_takes_whole_documents(spark):
     import corpus_pipeline
 
