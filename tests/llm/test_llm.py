@@ -90,12 +90,37 @@ def test_ranks_encode_like_the_library():
             assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids, hex(c)
 
 
-def test_media(spark):
-    stored = media.encode_media(odd(spark), codec="mulaw")
-    for r, s in zip(media.decode_media(stored).collect(), stored.collect(), strict=True):
-        raw = media.read_wave(s["media"])[3]
-        assert len(raw) == r["payload_bytes"] and len(raw) % 64 == 0 and len(raw) >= 64 and hashlib.sha256(raw).hexdigest() == r["payload_sha256"] and zlib.crc32(raw[-64:]) == r["tail_crc32"]
-        assert len(r["pcm"]) == 4 * len(raw)
+@pytest.mark.parametrize("codec", [None, "mulaw", "alaw", "ima_adpcm"])
+def test_media(spark, codec):
+    texts = [*ODD, *(f"some text {i} " * i for i in range(40)), "long é" * 30_000]
+    df = spark.createDataFrame([(i, t, "x", b"clash") for i, t in enumerate(texts)], "doc_id long, text string, feature string, `value` binary")
+    stored = media.encode_media(df, codec=codec)
+    held = {s["doc_id"]: s["media"] for s in stored.collect()}
+    got = media.decode_media(stored).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        want = raw + b"\0" * (-len(raw) % 64 if raw else 64)  # from the text, not from the container
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(want) and r["payload_sha256"] == hashlib.sha256(want).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(want[-64:]) and r["media_error"] is None and r["value"] == b"clash"
+        m = held[r["doc_id"]]
+        assert r["media_bytes"] == len(m) and r["media_sha256"] == hashlib.sha256(m).hexdigest()
+        own, rate, block, data = media.read_wave(m)
+        assert own == (codec or media.CODECS[zlib.crc32(want) % 3]) and rate == 8000
+        if own == "ima_adpcm":
+            assert all(data[i + 4 : i + block] == want[i // block * 64 :][:64] and data[i : i + 4] == bytes(4) for i in range(0, len(data), block))
+        else:
+            assert data == want
+        pcm = np.frombuffer(r["pcm"], "<i2")
+        lin = media.expand(own, data, block).astype(float)
+        twice = np.append(np.stack([lin, np.append((lin[1:] + lin[:-1]) / 2, lin[-1])], axis=1).ravel(), [])
+        assert np.array_equal(pcm, np.round(twice).astype(np.int16)) and f"n={len(pcm)} " in r["feature"]
+    if codec is None:
+        assert len({media.read_wave(m)[0] for m in held.values()}) == 3
+    assert media.decode_media(media.encode_media(df.limit(0))).count() == 0
+
+
+def test_media_tables_and_errors(spark, monkeypatch):
     t = media.EXPAND
     assert t["mulaw"][[0, 0x80, 0xFF, 0x7F]].tolist() == [-32124, 32124, 0, 0] and t["alaw"][[0xD5, 0x55, 0xAA, 0x2A]].tolist() == [8, -8, 32256, -32256]
     block = struct.pack("<hBB", 100, 10, 0) + bytes([0x70, 0x8F])
@@ -106,6 +131,13 @@ def test_media(spark):
         value, index = value + (-move if code & 8 else move), min(88, max(0, index + int(media.INDEX_STEP[code])))
         want.append(value)
     assert media.adpcm_blocks(block * 2, 6).tolist() == want * 2
+    pcm = np.arange(-5000, 5000, 7).astype(np.int16)
+    whole = media.resample(pcm, 8000, 11025)
+    assert np.abs(whole - np.interp(np.arange(len(whole)) * 8000 / 11025, np.arange(len(pcm)), pcm)).max() <= 0.51
+    monkeypatch.setattr(media, "PIECE", 50)
+    monkeypatch.setattr(media, "MANY", 1)
+    assert media.adpcm_blocks(block * 2, 6).tolist() == want * 2
+    assert np.array_equal(np.concatenate(list(media.resample_in_pieces(pcm, 8000, 11025))), whole)
     bad = media.decode_media(spark.createDataFrame([(bytearray(b"no"),)], "media binary")).first()
     assert bad["media_error"] and bad["payload_bytes"] is None
 

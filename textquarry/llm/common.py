@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,8 +106,23 @@ class Pieces(dict):
         self.missed = []
 
 
-#: Rows of a batch that are Python objects at once.
-SLICE = 512
+#: Rows of a batch, and bytes of their values, that are Python objects at once (a longer value goes alone).
+SLICE, SLICE_BYTES = 512, 8 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    value = batch.column(0)
+    if not (pa.types.is_string(value.type) or pa.types.is_binary(value.type)) or value.nbytes <= SLICE_BYTES:
+        yield from (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+        return
+    size, first, held = pc.fill_null(pc.binary_length(value), 0).to_pylist(), 0, 0
+    for i, n in enumerate(size):
+        if i > first and (held + n > SLICE_BYTES or i - first == SLICE):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
 _TYPES = {
     "long": (T.LongType(), pa.int64()),
     "int": (T.IntegerType(), pa.int32()),
@@ -130,7 +146,7 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = start()
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in chain.from_iterable(map(_slices, batches)):
             values = batch.column(0).to_pylist()
             rows, others = one(values) if together else [one(v) for v in values], batch.columns[1:]
             if many:

@@ -156,7 +156,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """A model from at most docs_each labelled rows of each language; lengths: those of the n-grams, as they are tried."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
-    least = rows.select("l", "h", "k").withColumn("n", first).filter(F.col("n") <= docs_each)  # sorts hashes, not texts
+    narrow = rows.select("l", "h", "k").withColumn("s", F.pmod("h", F.lit(64)))  # hashes are sorted, not texts; in slices first
+    in_slice = F.row_number().over(Window.partitionBy("l", "s").orderBy("h", "k"))
+    least = narrow.withColumn("n", in_slice).filter(F.col("n") <= docs_each).withColumn("n", first).filter(F.col("n") <= docs_each)
     marks = least.groupBy("l").agg(F.max("h").alias("mark")).collect()  # a row for each language
     near = F.lit(False)
     for r in marks:
