@@ -20,6 +20,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 _own: list[str] = []
+_running: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,10 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textquarry/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _running:
+        _running[-1].append(out)
+    return out
 
 
 def forget(df: DataFrame) -> None:
@@ -69,20 +73,46 @@ def row_digest(docs: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct(*docs.columns)))
 
 
-def join_hot(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+SALTS = 32
+
+
+def salt_bits(salt: Column) -> Column:
+    """An aggregate: which salts occur, a bit each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def salts_of(bits: Column, salts: int = SALTS) -> Column:
+    """A row for each salt that occurs."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", bits, i) == 1))
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """big joined to small (one row for each key at most) where a key may hold any share of big.
 
     Rows of big get a salt from their columns `by`; small is repeated for just the salts that occur with a key, so it never
     outgrows big, and a hot key is spread over `salts` tasks. Keys are equal as in SQL: a null meets nothing.
     """
-    salt = F.lit(1).cast("long")
     marked = big.withColumn("_salt_of_row", salted(salts, *by))
-    occurring = marked.groupBy(*on).agg(F.bit_or(F.call_function("shiftleft", salt, F.col("_salt_of_row"))).alias("_bits"))
-    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", F.col("_bits"), i) == 1))
-    spread = small.join(occurring, on).select(*small.columns, each.alias("_salt_of_row"))
+    occurring = marked.groupBy(*on).agg(salt_bits(F.col("_salt_of_row")).alias("_bits"))
+    spread = small.join(occurring, on).select(*small.columns, salts_of(F.col("_bits"), salts).alias("_salt_of_row"))
     return marked.join(spread, [*on, "_salt_of_row"], how).drop("_salt_of_row")
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written; tables that were written on the way to it are deleted."""
+    _running.append([])
+    try:
+        out = materialise(make())
+    finally:
+        made = _running.pop()
+    for df in made:
+        if df is not out:
+            forget(df)
+    if _running:
+        _running[-1].append(out)
+    return out
+
+
 class Pieces(dict):
     """What is known of pieces of text. A miss is noted and answered None; once `size` are held, those not used since go."""
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, per_value, table
+from .common import forget, materialise, per_value, table
 
 #: The same rule twice: in Latin-1 there are no marks, and plain ``re`` is faster there.
 _WORD, _LATIN_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile("[a-zªµºß-öø-ÿ]+")
@@ -185,7 +185,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         t = df.groupBy("w").agg(*cols).orderBy("w").toArrow()
         return t["w"].to_pylist(), np.stack([t[f"_{i}"].to_numpy() for i in range(len(langs))], axis=1)
 
-    return Model(langs, *by_language(counts), *by_language(grams), lengths)
+    model = Model(langs, *by_language(counts), *by_language(grams), lengths)
+    forget(counts)
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Site-relative line dedup in DataFrame functions alone.
 
 The documents of a host that contain a line, divided by all documents of that host, give the line's ratio; lines above
-``ratio`` on at least ``min_pages`` documents are boilerplate there and go. Lines are compared by their digest after
+``ratio`` on at least ``min_pages`` documents are boilerplate there and go (on a host of fewer documents than 1 / ratio any
+line at all is above the ratio). Lines are compared by their digest after
 trimming blanks; blank lines always stay. With ``once``, exact copies of a text count as one document of their host, both
 in a line's pages and in the host's total, so that a text is not boilerplate just because it is copied often; op1's SQL
 counts every document.
@@ -13,7 +14,8 @@ at most once, to meet their own lines to drop.
 
 Cases: null text stays null and counts as a document of its host; a null host is a host of its own; null or repeated
 ids are harmless (lines to drop are gathered by id and host, and a line is boilerplate for a host as a whole); an empty
-text has one blank line; a text all of whose lines go becomes empty; further columns stay.
+text has one blank line; a text all of whose lines go becomes empty; very long texts are split whole; an empty table gives
+an empty table; further columns stay, whatever their names, but n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, join_hot, quoted, table
 
 _BLANK = " \t\r"
 
@@ -30,32 +32,42 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(_BLANK))))
 
 
+def _host(host: str) -> Column:
+    """A host as a key that equals itself, null included."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
+
+
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5, once: bool = False) -> DataFrame:
-    """host, line (digest), pages: the lines to drop. once: copies of a text count as one page."""
+    """host (as a key), line (digest), pages: the lines to drop. once: copies of a text count as one page."""
+    told = docs.select(_host(host).alias("host"), F.col(text).alias("text"))
     if once:
-        docs = docs.select(F.col(host), F.col(text), F.md5(text).alias("_text")).dropDuplicates([host, "_text"])
-    lines = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _digest))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("all_pages"))
-    h = hosts.withColumnRenamed("host", "all_host")
-    joined = counts.join(h, F.col("host").eqNullSafe(F.col("all_host")))
-    return joined.filter((F.col("pages") > F.lit(ratio) * F.col("all_pages")) & (F.col("line") != _digest(F.lit("")))).select("host", "line", "pages")
+        told = told.withColumn("digest", F.md5("text")).dropDuplicates(["host", "digest"])
+    lines = told.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _digest))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter((F.col("pages") >= min_pages) & (F.col("line") != _digest(F.lit(""))))
+    hosts = told.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    joined = join_hot(counts, hosts, ["host"], ["line"])
+    return joined.filter(F.col("pages") > F.lit(ratio) * F.col("all_pages")).select("host", "line", "pages")
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = 0.075, min_pages: int = 5, salts: int = 16, once: bool = False) -> DataFrame:
     """docs without their hosts' boilerplate lines; n_lines and n_dropped tell how many there were and went."""
-    bad = boilerplate(docs, host, text, ratio, min_pages, once).select(F.col("host").alias("_b_host"), F.col("line").alias("_b_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_b_salt"))
-    salt = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(salts)).cast("int")
-    held = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), salt.alias("_salt"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _digest))).alias("_line"))
-    hits = held.join(bad, F.col("_host").eqNullSafe(F.col("_b_host")) & (F.col("_line") == F.col("_b_line")) & (F.col("_salt") == F.col("_b_salt")), "left_semi")
-    drop = hits.groupBy("_key", "_host").agg(F.collect_set("_line").alias("_drop"))
-    joined = docs.join(drop, F.col(key).eqNullSafe(F.col("_key")) & F.col(host).eqNullSafe(F.col("_host")), "left")
+    each_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    bad = boilerplate(docs, host, text, ratio, min_pages, once).select("host", "line", each_salt)
+    salt = F.pmod(F.xxhash64(key, F.length(text)), F.lit(salts)).cast("int")
+    held = docs.select(F.col(key).alias("key"), _host(host).alias("host"), salt.alias("salt"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _digest))).alias("line"))
+    k, h, d = free_name(docs, "key", "host", "drop")
+    drop = held.join(bad, ["host", "line", "salt"], "left_semi").groupBy(F.col("key").alias(k), F.col("host").alias(h)).agg(F.collect_set("line").alias(d))
+    joined = docs.join(drop, docs[key].eqNullSafe(F.col(k)) & (_host(host) == F.col(h)), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _digest(x)))
-    some = F.col("_drop").isNotNull()
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(d), _digest(x)))
+    some = F.col(d).isNotNull()
     new = F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text))
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    return joined.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")], F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(some, n - F.size(kept)).otherwise(0).cast("long").alias("n_dropped"))
+    return joined.select(
+        *[new.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(some, n - F.size(kept)).otherwise(0).cast("long").alias("n_dropped"),
+    )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, per_value, row_digest
+from .common import join_hot, materialise, per_value, row_digest
 from .graph import components
 
 WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 36, 5
@@ -70,7 +70,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(f"_{k}")) for k in ("a", "b"))
-    return materialise(materialise(pairs).join(x, "a").join(y, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, ok boolean"))
+    return materialise(join_hot(join_hot(materialise(pairs), x, ["a"], ["b"]), y, ["b"], ["a"]).select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, ok boolean"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,7 +80,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     classes = materialise(sketched.groupBy("set").agg(F.min(F.struct("row", "bands")).alias("one")).select("set", "one.row", "one.bands", F.monotonically_increasing_id().alias("node")))
     buckets = classes.select("node", F.explode("bands").alias("band"))
     low = buckets.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "low")
-    members = materialise(buckets.join(low, "band").filter("node > low").select("band", "low", "node"))
+    members = materialise(join_hot(buckets, low, ["band"], ["node"]).filter("node > low").select("band", "low", "node"))
     needed = members.select("node").unionByName(members.select(F.col("low").alias("node"))).distinct().join(classes.select("node", "row"), "node")
     texts = materialise(rows.select("row", "text").join(needed, "row").groupBy("node").agg(F.first("text").alias("text")))
     first = _verified(members.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), texts)
@@ -92,4 +92,4 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     more = more.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = first.unionByName(_verified(more, texts)).filter("ok").select("a", "b")
     labels = classes.select("set", "node").join(components(links), "node", "left").select("set", F.coalesce("root", "node").alias("component"))
-    return sketched.select(key, "row", "set").join(labels, "set").select(key, "row", "component")
+    return join_hot(sketched.select(key, "row", "set"), labels, ["set"], ["row"]).select(key, "row", "component")

@@ -4,8 +4,9 @@ Each text gets a 64-bit fingerprint. Documents with equal fingerprints form a cl
 there on. Any two fingerprints at most two bits apart agree on two of their four 16-bit quarters at least: the six pairs
 of quarters deal the classes out. Within a deal, each fingerprint's Hamming distances to ``PIVOTS`` are tabled once; as
 distances obey the triangle inequality, a pair whose distances to any pivot differ by more than two is discarded without
-looking at it, and the survivors are verified bit by bit. A deal with many fingerprints is dealt again by the other two
-quarters, in bytes, so that no pair is lost and no deal is compared in full. Each batch passes on only a spanning forest
+looking at it, and the survivors are verified bit by bit. A deal with many fingerprints is dealt again by pairs of quarters
+of the bits that still differ, as often as needed: each time half of these bits are left, so that no pair is lost and no
+deal of more than a few thousand is compared in full. Each batch passes on only a spanning forest
 of its links, whose components are found by star steps.
 
 Cases: null and blank texts have fingerprint zero and are linked like any other; ties and repeated rows share a class;
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, per_value, table
+from .common import join_hot, materialise, per_value, table
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,16 +66,18 @@ def _close(key: np.ndarray, fp: np.ndarray, most: int, limit: int = 2048) -> Ite
     sizes = np.diff(np.r_[starts, len(key)])
     for s, n in zip(starts[sizes > limit].tolist(), sizes[sizes > limit].tolist(), strict=True):
         own = fp[s : s + n]
-        parts = [own >> np.uint64(8 * i) & np.uint64(255) for i in range(8)]
-        free = [p for p in parts if (p != p[0]).any()]  # two bits spoil two bytes at most
-        if len(free) <= 2:
-            sub = [np.zeros(n, np.uint64)]
-        else:
-            held = min(len(free) - 2, 3)
-            sub = [sum((free[i] << np.uint64(8 * j) for j, i in enumerate(c)), np.zeros(n, np.uint64)) for c in combinations(range(len(free)), held)]
-        for k in sub:
+        free = [b for b in range(64) if int(np.bitwise_or.reduce(own ^ own[0])) >> b & 1]
+        if len(free) < 2 * (most + 2):  # these bits tell few fingerprints apart
+            for a, b in _close(np.zeros(n, np.int64), own, most, n):
+                yield s + a, s + b
+            continue
+        # Of most + 2 parts of the free bits, two fingerprints so close agree on two: a deal by each pair of parts.
+        parts = [sum(((own >> np.uint64(b) & np.uint64(1)) << np.uint64(j) for j, b in enumerate(p)), np.zeros(n, np.uint64)) for p in np.array_split(free, most + 2)]
+        width = np.uint64(max(len(p) for p in np.array_split(free, most + 2)))
+        for x, y in combinations(parts, 2):
+            k = x << width | y
             order = np.argsort(k, kind="stable")
-            for a, b in _close(k[order], own[order], most, max(limit, n)):
+            for a, b in _close(k[order], own[order], most, limit):
                 yield s + order[a], s + order[b]
     small = np.repeat(sizes <= limit, sizes)
     at = np.flatnonzero(small)
@@ -147,8 +150,8 @@ def simhash_components(fps: DataFrame, key: str = "doc_id", most: int = 2) -> Da
     found = components(close_pairs(classes.select("fp"), most))
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = rooted.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(key, "fp", "component_id")
+    labels = join_hot(rooted.select("fp", "root"), low, ["root"], ["fp"]).select("fp", "component_id")
+    return join_hot(fps, labels, ["fp"], [key]).select(key, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, most: int = 2) -> DataFrame:

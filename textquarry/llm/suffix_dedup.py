@@ -14,7 +14,8 @@ reaches ``length``, the suffixes form a repeated interval, and the windows that
 
 Scale: runs carry two hashes and a place, about one for each 65 bytes of text; counts are partial before the shuffle.
 Runs whose anchor occurs once leave after one count of anchors, so that later shuffles carry repeated text only. Joins go by
-anchor and salt; the other side is repeated for just the salts that occur, so it never outgrows the runs.
+anchor and salt; the other side is repeated for just the salts that occur, so it never outgrows the runs. One copy of a
+text gives its bytes to the merge, and copies meet the text's decisions by salt again.
 An anchor with more than ``most_shards`` different runs is not merged in one task: its windows are counted by digest
 instead, which gives the same answer. Texts are named by hash and size, so copies share their decisions.
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, per_value, table
+from .common import forget, free_name, join_hot, materialise, per_value, quoted, salt_bits, salts_of, table
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -81,7 +82,7 @@ def text_name(data: bytes) -> int:
 
 
 def runs_of(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """A row for each run of each text: anchor, run (its identity), name and n_bytes of the text, first, windows, offset."""
+    """A row for each run of each text: who (from docs), anchor, run (its identity), name and n_bytes of the text, first, windows, offset."""
     made = {"anchor": "long", "run": "long", "name": "long", "n_bytes": "int", "first": "int", "windows": "int", "offset": "int"}
     h64 = xxhash.xxh3_64_intdigest
 
@@ -95,7 +96,7 @@ def runs_of(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
         ids = np.array([h64(data[i : i + k + length - 1], (k << 16) | j) for i, k, j in zip(f.tolist(), w.tolist(), o.tolist(), strict=True)], np.uint64).view(np.int64)
         return [(x, y, name, n, i, k, j) for x, y, i, k, j in zip(a.tolist(), ids.tolist(), f.tolist(), w.tolist(), o.tolist(), strict=True)]
 
-    return per_value(docs.select(text), text, made, lambda: one, many=True)
+    return per_value(docs.select(text, "who"), text, made, lambda: one, many=True)
 
 
 def _intervals(flags: np.ndarray) -> list[int]:
@@ -200,18 +201,23 @@ def _count_windows(spans: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 64, most_shards: int = 50_000, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) unless keep_text is false."""
-    runs = materialise(runs_of(docs, text, length, gram).withColumn("salt", (F.monotonically_increasing_id() % 64).cast("int")))  # written, so fixed
-    salts = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts")
-    salt = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)).alias("salt")
+    rest = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
+    # A row's salt comes from its other columns: copies of a text spread, and a lost task's rows come back alike.
+    who = (F.xxhash64(*rest) if rest else F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    salt = F.pmod(F.col("who"), F.lit(64)).cast("int")
+    told = docs.select(F.col(text).alias("text"), who.alias("who"))
+    runs = materialise(runs_of(told, "text", length, gram).withColumn("salt", salt))
     alone = F.count(F.lit(1)) == 1
-    often = runs.groupBy("anchor").agg(alone.alias("alone"), (F.min("run") != F.max("run")).alias("mixed"), salts).filter("NOT alone").select("anchor", "mixed", salt)
+    often = runs.groupBy("anchor").agg(alone.alias("alone"), (F.min("run") != F.max("run")).alias("mixed"), salt_bits(F.col("salt")).alias("salts"))
+    often = often.filter("NOT alone").select("anchor", "mixed", salts_of(F.col("salts"), 64).alias("salt"))
     live = materialise(runs.join(often, ["anchor", "salt"]))  # what occurs once under its anchor goes no further
     forget(runs)
-    whole = F.struct("name", "n_bytes", "first", "windows", "offset")
-    same = materialise(live.groupBy("anchor", "run", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("at"), salts))
+    whole = F.struct("name", "n_bytes", "first", "windows", "offset", "who")
+    same = materialise(live.groupBy("anchor", "run", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("at"), salt_bits(F.col("salt")).alias("salts")))
     mixed = same.filter("mixed").select("anchor", "run", "n", "at")
-    shards = mixed.join(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("shards")), "anchor").select("anchor", "run", "n", "shards", "at.*")
-    wanted = shards.groupBy("name", "n_bytes").agg(F.collect_list(F.struct("anchor", "run", "shards", "first", "windows", "offset")).alias("cuts"))
+    shards = join_hot(mixed, mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("shards")), ["anchor"], ["run"]).select("anchor", "run", "n", "shards", "at.*")
+    # Of the copies of a text only the one that all its runs name gives its bytes.
+    wanted = shards.groupBy("name", "n_bytes", "who").agg(F.collect_list(F.struct("anchor", "run", "shards", "first", "windows", "offset")).alias("cuts"))
 
     def named(t: str | None) -> tuple[int, int, bytes]:
         data = (t or "").encode("utf-8", "surrogatepass")
@@ -220,22 +226,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     def cut(v: dict) -> list[tuple]:
         return [(c["anchor"], c["run"], c["shards"], c["windows"], c["offset"], v["data"][c["first"] : c["first"] + c["windows"] + length - 1]) for c in v["cuts"]]
 
-    texts = per_value(docs.select(text), text, {"name": "long", "n_bytes": "int", "data": "binary"}, lambda: named)
-    held = texts.join(wanted, ["name", "n_bytes"]).select(F.struct("data", "cuts").alias("v"))
+    texts = per_value(told, "text", {"name": "long", "n_bytes": "int", "data": "binary"}, lambda: named)
+    held = texts.join(wanted, ["name", "n_bytes", "who"]).select(F.struct("data", "cuts").alias("v"))
     spans = per_value(held, "v", {"anchor": "long", "run": "long", "shards": "long", "windows": "int", "offset": "int", "span": "binary"}, lambda: cut, many=True).dropDuplicates(["anchor", "run"])
     spans = materialise(spans)
     by_merge = _decide(spans.filter(F.col("shards") <= most_shards), length, gram)
     decided = materialise(by_merge.unionByName(_count_windows(spans.filter(F.col("shards") > most_shards), length)))
     forget(spans)
-    again = same.filter("n > 1").select("anchor", "run", F.array(F.lit(0), F.col("at.windows").cast("long")).alias("repeats"), salt)
-    once = decided.join(same.filter("n = 1"), ["anchor", "run"]).select("anchor", "run", "repeats", salt)
+    each = salts_of(F.col("salts"), 64).alias("salt")
+    again = same.filter("n > 1").select("anchor", "run", F.array(F.lit(0), F.col("at.windows").cast("long")).alias("repeats"), each)
+    once = decided.join(same.filter("n = 1"), ["anchor", "run"]).select("anchor", "run", "repeats", each)
     places = F.transform("repeats", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, length - 1).otherwise(0))
-    hits = live.join(again.unionByName(once), ["anchor", "run", "salt"]).groupBy("name", "n_bytes", "first").agg(F.first(places).alias("places"))
-    by_text = hits.groupBy("name", "n_bytes").agg(F.flatten(F.collect_list("places")).alias("places"))
-    rest = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
-    all_texts = per_value(docs.select(text, *rest), text, {"__name": "long", "__size": "int", "__data": "binary"}, lambda: named)
-    cuts = by_text.select(F.col("name").alias("__name"), F.col("n_bytes").alias("__size"), F.col("places").alias("__places"))
-    joined = all_texts.join(cuts, ["__name", "__size"], "left").select(*rest, F.struct(F.col("__data").alias("data"), F.col("__places").alias("places")).alias("__v"))
+    hits = live.join(again.unionByName(once), ["anchor", "run", "salt"]).groupBy("name", "n_bytes", "first").agg(F.first(places).alias("places"), salt_bits(F.col("salt")).alias("salts"))
+    by_text = hits.groupBy("name", "n_bytes").agg(F.flatten(F.collect_list("places")).alias("places"), F.bit_or("salts").alias("salts"))
+    names = free_name(docs, "name", "size", "data", "salt", "places", "value")
+    name, size, data, own_salt, own_places, value = names
+    all_texts = per_value(docs.select(text, *map(quoted, rest), F.pmod(who, F.lit(64)).cast("int").alias(own_salt)), text, {name: "long", size: "int", data: "binary"}, lambda: named)
+    cuts = by_text.select(F.col("name").alias(name), F.col("n_bytes").alias(size), F.col("places").alias(own_places), salts_of(F.col("salts"), 64).alias(own_salt))
+    joined = all_texts.join(cuts, [name, size, own_salt], "left").select(*map(quoted, rest), F.struct(F.col(data).alias("data"), F.col(own_places).alias("places")).alias(value))
 
     def finish(v: dict) -> tuple:
         data, places = v["data"], v["places"]
@@ -253,7 +261,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
         return (len(data), removed, spans_, hashlib.sha256(out).hexdigest(), *([out] if keep_text else []))
 
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep_text else {})
-    return per_value(joined, "__v", made, lambda: finish)
+    return per_value(joined, value, made, lambda: finish)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
