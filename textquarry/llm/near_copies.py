@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, per_value, row_digest
+from .common import SALTS, forget, join_hot, materialise, per_value, row_digest, salted
 from .graph import components
 
 WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 36, 5
@@ -55,22 +55,32 @@ def sketch(text: str | None) -> tuple[bytes, list[int]]:
     return xxhash.xxh3_128_digest(own.tobytes()), keys.tolist() if len(own) else []
 
 
-def similar(a: str | None, b: str | None, least: float = LEAST) -> bool:
-    x, y = shingles(a), shingles(b)
+def similar(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= least * (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b; distinct) with ok."""
+    """pairs (a, b; distinct) with ok. The text of a goes once to each salt of its partners, whose texts follow it there."""
+    marked = materialise(pairs.withColumn("salt", salted(SALTS, "b")))
+    first = marked.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    rest = marked.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    dealt = first.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            ok = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(f"_{k}")) for k in ("a", "b"))
-    return materialise(join_hot(join_hot(materialise(pairs), x, ["a"], ["b"]), y, ["b"], ["a"]).select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, ok boolean"))
+            found = []
+            for a, b, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if b is None:
+                    own = shingles(text)
+                else:
+                    found.append((a, b, similar(own, shingles(text))))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "ok"])
+
+    out = materialise(dealt.mapInArrow(run, "a long, b long, ok boolean"))
+    forget(marked)
+    return out
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
