@@ -112,7 +112,10 @@ def test_filters(spark):
     df = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "y", ["a"]), (3, None, None)], "id int, dep string, tags array<string>")
     ids = lambda f, **k: sorted(r["id"] for r in search.metadata_filter(df, f, **k).collect())
     assert ids({"dep": None, "tags": []}) == [1, 2, 3] and ids({"id": [1, 3]}) == [1, 3] and ids({"tags": ["a", "b"]}) == [1] and ids({"tags": ["a", "b"]}, match="any") == [1, 2]
-    assert search.retrieve("hybrid", df.withColumnRenamed("id", "chunk_id"), df.withColumnRenamed("id", "chunk_id"), [(1, [1.0], ["  "])]).count() == 0
+    held = df.select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit("x").alias("text"))
+    for mode, terms in (("hybrid", ["  "]), ("dense", []), ("keyword", None)):
+        assert search.retrieve(mode, held, held, search.questions(spark, [(1, [1.0], terms)])).count() == 0
+    assert search.retrieve("dense", held, held, search.questions(spark, [(1, [1.0], ["x"])])).count() == df.count()
 
 
 def test_context_and_citations(spark):
@@ -142,6 +145,11 @@ def test_catalogue(spark):
     assert {r["g"]: r["id"] for r in catalog.latest(df, "g", "id").collect()} == {0: 9, 1: 7, 2: 8}
     h = {r["le"]: r["n"] for r in catalog.histogram(df, "id", [1, 5]).collect()}
     assert h == {"1.0": 2, "5.0": 6, "+Inf": 10}
+    twice = spark.createDataFrame([(1, 5), (1, 7), (1, 6)], "id int, g int")
+    assert {tuple(r) for r in files.upsert(df, twice, "id").filter("id < 3").collect()} == {(0, 0), (1, 7), (2, 2)}
+    assert sorted((r["text"], r["n"]) for r in catalog.duplicate_texts(spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,), ("c",), ("c",), ("c",)], "text string")).collect()) == [("a", 2), ("c", 3)]
+    order = catalog.topic_by(spark.createDataFrame([("x", 3), ("y", 1), ("", 2), (None, 4), ("z", 9)], "d string, rank int"), "d").collect()
+    assert [(r["d"], r["passages"], r["position"]) for r in order] == [("Unknown", 2, 1), ("y", 1, 2), ("x", 1, 3), ("z", 1, 4)]
     once = files.upsert(None, df, "id")
     assert files.upsert(once, df, "id").count() == 10
 
@@ -153,16 +161,6 @@ def test_layout(spark):
     assert got == [("Title", 1, "body one", 1, 1), ("Bold", 3, "body two", 1, 2)]
 
 
-def test_markup():
-    title, author, _, secs = markup.html_document("<html><head><title>T</title><meta property='og:title' content='O'><meta name=author content=A></head><body><nav>no</nav><main>x<!-- c --><h2>H</h2><p>a <b>b</b></p><h3>dropped</h3><h2>K</h2><pre>c  d</pre><img alt=pic><table><tr><th>A<th>B</tr><tr><td>1</td></tr></table></main></body></html>")
-    assert (title, author) == ("O", "A")
-    assert [(s[1], s[2]) for s in secs] == [(None, 0), ("H", 2), ("K", 2)] and secs[1][3] == "a\n\nb" and "[Image: pic]" in secs[2][3] and "| A | B |" in secs[2][3]
-    meta, secs = markup.markdown_document("---\ntitle: X\n---\n# One\ntext\n```\n# not\n```\n## Two\nmore")
-    assert meta["title"] == "X" and [(s[1], s[2]) for s in secs] == [("One", 1), ("Two", 2)] and "# not" in secs[0][3]
-    for line, after, want in [("Title", "=====", 1), ("Sub", "---", 2), ("1. Intro", "", 1), ("1.1 Deep", "", 2), ("1.1.1 Deeper", "", 3), ("INTRODUCTION", "", 1), ("A" * 90, "", 0), ("Prerequisites:", "", 3), ("x" * 73 + ":", "", 0), ("", "", 0)]:
-        assert markup.heading_of(line, after)[1] == want, line
-
-
 def test_files_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/my_file-one.txt").write_bytes("caf\xe9  ok".encode("latin-1"))
@@ -178,9 +176,15 @@ def test_files_and_stream(spark, tmp_path):
         ingest.chunk_stream(spark, str(tmp_path / "docs"), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert streamed.count() == chunk.fixed_chunks(docs).count() == streamed.select("chunk_id").distinct().count()
-    files.replace_table(docs, str(tmp_path / "t"))
-    files.replace_table(docs.limit(2), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    at = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        files.read_table(spark, at)
+    for n in (5, 2, 1):
+        files.replace_table(docs.limit(n), at)
+        assert files.read_table(spark, at).count() == n
+    assert len(files.versions(spark, at)) == 2
+    (tmp_path / "t/v=9").mkdir()  # a version whose writer died
+    assert files.read_table(spark, at).count() == 1
 
 
 def test_entry_imports():

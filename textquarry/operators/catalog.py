@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STATES = {"document": ("pending", "processing", "indexed", "failed", "archived"), "job": ("pending", "running", "success", "failed", "retrying")}
-
 
 def count_by(df: DataFrame, by: str, name: str = "count") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias(name))
@@ -17,9 +15,11 @@ def topic_count(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def topic_by(found: DataFrame, by: str) -> DataFrame:
-    """Passages by a column, null and blank as Unknown; most first, ties by first rank."""
+    """Passages by a column, null and blank as Unknown, with position: most first, ties by first rank and name. One row a value."""
     g = F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("Unknown"))
-    return found.groupBy(g.alias(by)).agg(F.count(F.lit(1)).alias("passages"), F.min("rank").alias("first_rank"))
+    groups = found.groupBy(g.alias(by)).agg(F.count(F.lit(1)).alias("passages"), F.min("rank").alias("first_rank"))
+    order = Window.orderBy(F.desc("passages"), "first_rank", by)  # over groups, not rows
+    return groups.withColumn("position", F.row_number().over(order)).orderBy("position")
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
@@ -41,6 +41,15 @@ def duplicates(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def duplicate_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """text, n for texts that occur more than once: counted by digest, with a place to fetch each text from, so that only
+    repeated texts move, once for each task that holds them."""
+    digest = F.xxhash64(text), F.md5(text)
+    often = df.filter(F.col(text).isNotNull()).groupBy(*(d.alias(n) for d, n in zip(digest, ("_h", "_m"), strict=True))).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = df.select(text, digest[0].alias("_h"), digest[1].alias("_m")).join(often, ["_h", "_m"], "left_semi")
+    return held.groupBy("_h", "_m").agg(F.first(text).alias(text)).join(often, ["_h", "_m"]).select(text, "n")
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
@@ -80,7 +89,13 @@ def histogram(df: DataFrame, value: str, bounds: list[float], by: str | None = N
     return g.agg(*counts).select(*([by] if by else []), pairs).select(*([by] if by else []), "p.le", "p.n")
 
 
-def cache_split(texts: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows whose md5 the cache has, with its vector, and the distinct texts that it lacks."""
+def cache_split(texts: DataFrame, cache: DataFrame, text: str = "text", now: Column | None = None, ttl_seconds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose md5 the cache has, with its vector, and the distinct texts that it lacks.
+
+    With ttl_seconds, entries that were cached (column cached_at) so long before `now` or longer are as good as absent.
+    """
+    if ttl_seconds is not None:
+        age = F.unix_micros(now if now is not None else F.current_timestamp()) - F.unix_micros("cached_at")
+        cache = cache.filter(age < F.lit(ttl_seconds * 1_000_000)).drop("cached_at")
     keyed = texts.withColumn("key", F.md5(text))
     return keyed.join(cache, "key"), keyed.join(cache.select("key"), "key", "left_anti").select("key", text).dropDuplicates(["key"])

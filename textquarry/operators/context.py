@@ -29,14 +29,13 @@ def source_block(i: Column, name: Column, page: Column, heading: Column, text: C
 
 def assemble(found: DataFrame, budget: int = 8000, query: str = "query_id", name: str = "filename", page: Column | None = None, heading: Column | None = None) -> DataFrame:
     """One row for each query: context, total_tokens, n_chunks, truncated. Ranked lists are at most top-k long."""
-    unique = dedup(found)
-    held = within_budget(unique, budget)
-    i = F.row_number().over(Window.partitionBy(query).orderBy("rank"))
+    w = Window.partitionBy(query).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    told = dedup(found).withColumn("_in", F.sum(T.token_count("text") + 50).over(w) <= budget).withColumn("_i", F.row_number().over(Window.partitionBy(query).orderBy("rank")))
     block = source_block(F.col("_i"), F.col(name), page if page is not None else F.lit(0), heading if heading is not None else F.lit(""), F.col("text"))
-    built = held.withColumn("_i", i).groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", block.alias("b")))), lambda x: x["b"]), "\n").alias("context"), F.count(F.lit(1)).alias("n_chunks"))
-    all_ = unique.groupBy(query).agg(F.count(F.lit(1)).alias("_all"))
-    out = all_.join(built, query, "left").withColumn("context", F.coalesce("context", F.lit(NO_SOURCES))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-    return out.select(query, "context", T.token_count("context").alias("total_tokens"), "n_chunks", (F.col("n_chunks") < F.col("_all")).alias("truncated"))
+    blocks = F.array_sort(F.collect_list(F.when(F.col("_in"), F.struct("_i", block.alias("b")))))
+    out = told.groupBy(query).agg(blocks.alias("_b"), F.count_if("_in").alias("n_chunks"), F.count(F.lit(1)).alias("_all"))
+    joined = F.when(F.size("_b") > 0, F.array_join(F.transform("_b", lambda x: x["b"]), "\n")).otherwise(NO_SOURCES)
+    return out.withColumn("context", joined).select(query, "context", T.token_count("context").alias("total_tokens"), "n_chunks", (F.col("n_chunks") < F.col("_all")).alias("truncated"))
 
 
 def prompt(question: Column, context: Column) -> Column:

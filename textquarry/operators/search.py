@@ -1,12 +1,13 @@
-"""Filters, dense, keyword and hybrid retrieval, BM25, rerank. A batch of queries is one job; only query batches are small."""
+"""Filters, dense, keyword and hybrid retrieval, BM25, rerank. Questions are a table of any size: query_id, qv (vector), ts (terms)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
 
 
 def metadata_filter(df: DataFrame, filters: dict, match: str = "all") -> DataFrame:
@@ -39,20 +40,68 @@ def _top(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame
     return df.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def dense_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 20, key: str = "chunk_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
-    """Exact cosine top-k: query_id, key, score, rank. The queries are literals, so nothing is joined."""
-    asked = F.explode(F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for q, v in queries])).alias("q")
-    scored = vectors.select(F.col(key), F.col(vector).alias("_v"), asked).select("q.query_id", key, F.round(V.cosine("_v", "q.qv"), 6).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    return _top(scored, k, F.desc("score"), F.col(key))
-
-
-def keyword_search(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Documents that hold all terms, in order of their keys, score 1."""
-    asked = F.explode(F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*[F.lit(t.lower()) for t in ts]).alias("ts")) for q, ts in queries])).alias("q")
-    own = docs.select(F.col(key), F.array_distinct(T.terms(text)).alias("_t")).select(key, "_t", asked)
-    return _top(own.filter(F.size(F.array_except("q.ts", "_t")) == 0).select("q.query_id", key, F.lit(1.0).alias("score")), k, F.col(key))
+def questions(spark: SparkSession, asked: list[tuple]) -> DataFrame:
+    """A batch of questions (id, vector, terms) as a table; vector and terms may be None."""
+    rows = [(int(q), None if v is None else [float(x) for x in v], None if ts is None else [t.lower() for t in ts]) for q, v, ts in asked]
+    return spark.createDataFrame(rows, "query_id long, qv array<double>, ts array<string>")
+
+
+def _best_of_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, least: float | None, others: bool, key: str) -> pd.DataFrame:
+    """The k best of a block of rows for each of a block of questions: a product of matrices, some questions at a time."""
+    out = []
+    if len(rows) and len(asked):
+        ids = rows["_key"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], np.stack(rows["_v"].to_numpy()[order]).astype(np.float64)
+        size = np.sqrt((x * x).sum(axis=1))
+        for at in range(0, len(asked), 64):
+            some = asked.iloc[at : at + 64]
+            q = np.stack(some["qv"].to_numpy()).astype(np.float64)
+            both = np.sqrt((q * q).sum(axis=1))[:, None] * size[None, :]
+            score = np.round(np.divide(q @ x.T, both, out=np.zeros_like(both), where=both != 0), 6)
+            for question, own in zip(some["query_id"].tolist(), score, strict=True):
+                fit = np.ones(len(own), bool) if least is None else own >= least
+                if others:
+                    fit &= ids != question
+                fit = np.flatnonzero(fit)
+                if len(fit) > k:
+                    fit = fit[own[fit] >= np.partition(own[fit], len(fit) - k)[len(fit) - k]]
+                best = fit[np.argsort(-own[fit], kind="stable")][:k]  # rows are in order of their keys, so ties are too
+                out.append(pd.DataFrame({"query_id": question, key: ids[best], "score": own[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
+
+
+def dense_search(vectors: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id", vector: str = "embedding", least: float | None = None, others: bool = False, block_rows: int = 50_000, block_questions: int = 4_096) -> DataFrame:
+    """Exact cosine top-k: query_id, key, score, rank. asked: query_id, qv; others: a question's own key is no answer.
+
+    Rows and questions are dealt into blocks by hash; each pair of blocks is one task's work, which leaves k rows a
+    question, and these are merged. Rows without a vector, or with one of another length, never meet.
+    """
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    held = asked.filter("qv IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv"))
+    n_rows, n_asked = (max(1, -(-df.count() // size)) for df, size in ((rows, block_rows), (held, block_questions)))
+    place = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rows = rows.select("*", F.size("_v").alias("_n"), F.pmod(F.xxhash64("_key"), F.lit(n_rows)).cast("int").alias("_a"), F.explode(place(n_asked)).alias("_b"))
+    held = held.select("*", F.size("qv").alias("_n"), F.explode(place(n_rows)).alias("_a"), F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int").alias("_b"))
+    kind = vectors.schema[key].dataType.simpleString()
+    blocks = rows.groupBy("_n", "_a", "_b").cogroup(held.groupBy("_n", "_a", "_b"))
+    found = blocks.applyInPandas(lambda r, q: _best_of_block(r, q, k, least, others, key), f"query_id long, `{key}` {kind}, score double")
+    return _top(found, k, F.desc("score"), F.col(key))
+
+
+def keyword_search(docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Documents that hold all terms, in order of their keys, score 1. asked: query_id, ts.
+
+    A document meets the questions whose rarest term it holds, and is tested for their other terms there.
+    """
+    terms = asked.select("query_id", F.explode("ts").alias("term"), F.array_distinct("ts").alias("ts"))
+    own = docs.select(F.col(key), F.array_distinct(T.terms(text)).alias("_t"))
+    wanted = terms.select("term").distinct()
+    counts = own.select(F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ranked = terms.join(counts, "term", "left").groupBy("query_id", "ts").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "term"))["term"].alias("term"))
+    met = own.select(key, F.explode("_t").alias("term")).join(ranked, "term").select(key, "query_id", "ts")
+    held = own.join(met, key).filter(F.size(F.array_except("ts", "_t")) == 0)
+    return _top(held.select("query_id", key, F.lit(1.0).alias("score")), k, F.col(key))
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, k: int = 20, dense_weight: float = 0.7, keyword_weight: float = 0.3, constant: int = 60, key: str = "chunk_id") -> DataFrame:
@@ -65,25 +114,23 @@ def fuse(dense: DataFrame, keyword: DataFrame, k: int = 20, dense_weight: float
     return top.select("query_id", key, F.round("raw", 6).alias("score"), "rank", "dr", "kr")
 
 
-def hybrid_search(vectors: DataFrame, docs: DataFrame, queries: list[tuple[int, list[float], list[str]]], k: int = 20, key: str = "chunk_id", **weights) -> DataFrame:
-    dense = dense_search(vectors, [(q, v) for q, v, _ in queries], 3 * k, key)
-    return fuse(dense, keyword_search(docs, [(q, t) for q, _, t in queries], 3 * k, key), k, key=key, **weights)
+def hybrid_search(vectors: DataFrame, docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id", **weights) -> DataFrame:
+    return fuse(dense_search(vectors, asked, 3 * k, key), keyword_search(docs, asked, 3 * k, key), k, key=key, **weights)
 
 
-def retrieve(mode: str, vectors: DataFrame, docs: DataFrame, queries: list, k: int = 20, key: str = "chunk_id") -> DataFrame:
-    """dense, keyword, or anything else: hybrid. Queries without terms are skipped."""
-    queries = [q for q in queries if q[2] and any(t.strip() for t in q[2])]
-    if not queries:
-        return docs.sparkSession.createDataFrame([], f"query_id long, `{key}` {docs.schema[key].dataType.simpleString()}, score double, rank int")
+def retrieve(mode: str, vectors: DataFrame, docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id") -> DataFrame:
+    """dense, keyword, or anything else: hybrid. Questions without terms are skipped."""
+    asked = asked.filter(F.coalesce(F.exists("ts", lambda t: T.strip(t) != ""), F.lit(False)))
     if mode == "dense":
-        return dense_search(vectors, [(q, v) for q, v, _ in queries], k, key)
+        return dense_search(vectors, asked, k, key)
     if mode == "keyword":
-        return keyword_search(docs, [(q, t) for q, _, t in queries], k, key)
-    return hybrid_search(vectors, docs, queries, k, key).drop("dr", "kr")
+        return keyword_search(docs, asked, k, key)
+    return hybrid_search(vectors, docs, asked, k, key).drop("dr", "kr")
 
 
-def more_like_this(vectors: DataFrame, key_value, vector: list[float], k: int = 5, key: str = "chunk_id") -> DataFrame:
-    return dense_search(vectors.filter(F.col(key) != F.lit(key_value)), [(int(key_value), vector)], k, key)
+def more_like_this(vectors: DataFrame, asked: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:
+    """The rows nearest to rows (query_id, qv), other than those."""
+    return dense_search(vectors, asked, k, key, others=True)
 
 
 def rerank(found: DataFrame, n: int, score: Column | None = None) -> DataFrame:
@@ -95,15 +142,15 @@ def rerank(found: DataFrame, n: int, score: Column | None = None) -> DataFrame:
     return own.filter(F.col("rank") <= n)
 
 
-def bm25(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int = 20, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 (an extension). Term counts of query terms only leave the scan; statistics are two numbers and one row a term."""
-    wanted = sorted({t.lower() for _, ts in queries for t in ts})
-    own = docs.select(F.col(key), T.terms(text).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer(F.filter("_t", lambda t: t.isin(wanted))).alias("term"))
-    tf = own.groupBy(key, "dl", "term").agg(F.count("term").alias("tf"))
-    n, avgdl = docs.agg(F.count(F.lit(1)), F.avg(F.size(T.terms(text)))).first()
-    df = tf.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = F.broadcast(docs.sparkSession.createDataFrame([(q, t.lower()) for q, ts in queries for t in sorted(set(ts))], "query_id long, term string"))
-    s = tf.filter("term IS NOT NULL").join(F.broadcast(df), "term").join(asked, "term")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+def bm25(docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 (an extension). asked: query_id, ts. Only the questions' terms are counted by document; the statistics of
+    the corpus are two numbers, and ride along with the counts of terms."""
+    wanted = asked.select("query_id", F.explode(F.array_distinct("ts")).alias("term"))
+    held = docs.select(F.col(key), T.terms(text).alias("_t"))
+    sizes = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_t")).alias("avgdl"))
+    tf = held.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes))  # one row
+    s = tf.join(df, "term").join(wanted, "term")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return _top(s.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")), k, F.desc("score"), F.col(key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, chunk, layout, search
 from ..sources import files, markup, points
-from .registry import _FIXED, _IS_PAGE, _LIG, _LINES, _RAW, _TOKENS, _WORDS, _t, query, repeated_lines
+from .registry import _FIXED, _IS_PAGE, _LIG, _LINES, _RAW, _TEXT_SECTIONS, _TOKENS, _WORDS, _t, own_repeated_lines, query, repeated_lines
 
 
 def _files(spark, d):
@@ -32,7 +32,14 @@ def s3_unreadable_files(spark, d):
     return bad.groupBy(F.regexp_extract("error", r"\.(\w+)$", 1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Headings of Markdown files are lines with marks (there are no fences in these texts), those of other files as in plain text.
+_FILE_SECTIONS = _TEXT_SECTIONS.replace("doc_id", "path").replace("FROM documents", "FROM f WHERE suffix <> 'xyz'").replace("CASE WHEN s = ''", "CASE WHEN path LIKE '%.md' THEN CASE WHEN regexp_matches(line, '^#{1,6}\\s+') THEN length(regexp_extract(line, '^#+')) END WHEN s = ''")
+_FILE_SECTIONS = _FILE_SECTIONS.replace("regexp_matches(s, '^[=-]+$') AND coalesce(lag", "path NOT LIKE '%.md' AND regexp_matches(s, '^[=-]+$') AND coalesce(lag")
+_FILE_SECTIONS = _FILE_SECTIONS.replace("max(CASE WHEN level = 3", "max(CASE WHEN level IS NOT NULL AND path LIKE '%.md' THEN regexp_replace(regexp_replace(line, '^#{1,6}\\s+', ''), '\\s*#*\\s*$', '') WHEN level = 3")
+
+
+@query(f"""WITH {_FILES}, {_FILE_SECTIONS} SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sec) - 1)::INTEGER AS section_no, heading, level, text, false AS has_table, NULL::VARCHAR AS error FROM k WHERE text <> ''
+ UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, 'no parser for .xyz' FROM f WHERE suffix = 'xyz'""")
 def s3_s6_parsed_files(spark, d):
     return files.parse_files(_files(spark, d))
 
@@ -108,8 +115,8 @@ def c6_tidy_spaces(spark, d):
  SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(gone, regexp_replace(y, '^\s+|\s+$', '', 'g')), false)), chr(10))) AS cleaned FROM documents LEFT JOIN g USING (source)""")
 def c10_drop_learned_lines(spark, d):
     docs = _t(spark, d, "documents", "doc_id", "source", "text")
-    learned = repeated_lines(docs, "source").groupBy("source").agg(F.collect_set("line").alias("gone"))
-    return docs.join(learned, "source", "left").select("doc_id", F.md5(T.drop_lines("text", F.col("gone"))).alias("cleaned"))
+    told = own_repeated_lines(docs, "doc_id", "source", repeated_lines(docs, "source"), "text")
+    return told.select("doc_id", F.md5(T.drop_lines("text", F.col("gone"))).alias("cleaned"))
 
 
 @query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS joined FROM conversations WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' GROUP BY conv_id")

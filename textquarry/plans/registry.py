@@ -16,8 +16,6 @@ from ..streaming import ingest
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-#: The query batch of the retrieval queries: ids, terms; the vector is that of the row with the id.
-ASKED = ((0, ("de", "la")), (1, ("the", "and")), (7, ("that", "with", "the")), (42, ("of", "in")), (99, ("qqzzx",)))
 QUESTION = "  What  do the\tsources   say? "
 
 
@@ -36,31 +34,41 @@ def _t(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def _asked(spark: SparkSession, d: str) -> list[tuple[int, list[float], list[str]]]:
-    rows = _t(spark, d, "embeddings", "vec_id", "embedding").filter(F.col("vec_id").isin([q for q, _ in ASKED])).collect()
-    vec = {r[0]: list(r[1]) for r in rows}
-    return [(q, vec[q], list(ts)) for q, ts in ASKED if q in vec]
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of the retrieval queries: every row whose id is divisible by 100, with its vector and the three longest
+    terms of its own text, which are its rarest as a rule."""
+    vectors = _t(spark, d, "embeddings", F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qv")).filter("query_id % 100 = 0")
+    docs = _t(spark, d, "documents", F.col("doc_id").alias("query_id"), "text").filter("query_id % 100 = 0")
+    by_size = F.array_sort(F.transform(F.array_distinct(T.terms("text")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return vectors.join(docs, "query_id", "full_outer").select("query_id", "qv", F.transform(F.slice(by_size, 1, 3), lambda x: x["t"]).alias("ts"))
 
 
-_ASKED_SQL = "asked(query_id, ts) AS (VALUES " + ", ".join(f"({q}::BIGINT, [{', '.join(repr(t) for t in ts)}])" for q, ts in ASKED) + ")"
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')"
+_ASKED_SQL = f"""asked AS (SELECT coalesce(e.query_id, t.query_id) AS query_id, qv, ts FROM (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0) e
+ FULL JOIN (SELECT doc_id AS query_id, list_transform(list_sort(list_transform(list_distinct({_TERMS}), lambda x: {{'n': -length(x), 't': x}}))[1:3], lambda y: y.t) AS ts FROM documents WHERE doc_id % 100 = 0) t USING (query_id))"""
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 _TOKENS = "greatest(1, round(n_words / 0.75))::BIGINT"
 _LIG = "text"
 for _k, _v in T.LIGATURES.items():
     _LIG = f"replace({_LIG}, '{_k}', '{_v}')"
 _RAW = rf"""regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g')"""
-_CLEAN_RAW = _LIG.replace("text", rf"regexp_replace({_RAW}, '\(cid:\d+\)|\x{{FFFD}}', '', 'g')", 1)
-_CLEAN_RAW = rf"regexp_replace({_CLEAN_RAW}, '([\p{{L}}\p{{N}}\p{{M}}_])-\n\s*([a-z])', '\1\2', 'g')"
-_CLEAN_RAW = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN_RAW}, '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '([^\n]|^) {{2,}}', '\1 ', 'g')"
-_CLEAN_RAW = rf"regexp_replace({_CLEAN_RAW}, '^\s+|\s+$', '', 'g')"
+_PAGE_RAW = _LIG.replace("text", rf"regexp_replace({_RAW}, '\(cid:\d+\)|\x{{FFFD}}', '', 'g')", 1)
+_PAGE_RAW = rf"regexp_replace({_PAGE_RAW}, '([\p{{L}}\p{{N}}\p{{M}}_])-\n\s*([a-z])', '\1\2', 'g')"
+
+
+def _tidy_sql(text: str) -> str:
+    text = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '([^\n]|^) {{2,}}', '\1 ', 'g')"
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+_TIDY, _CLEAN_RAW = _tidy_sql("text"), _tidy_sql(_PAGE_RAW)
 _FIXED = rf"""w AS (SELECT doc_id, source, lang, {_WORDS} AS w FROM documents),
  c AS (SELECT doc_id, source, lang, w, unnest(range(0, 1 + greatest(0, ceil((len(w) - 384) / 336.0))::BIGINT)) AS chunk_index FROM w WHERE len(w) > 0),
  chunks AS (SELECT doc_id, source, lang, chunk_index, array_to_string(w[chunk_index * 336 + 1 : chunk_index * 336 + 384], ' ') AS text, len(w[chunk_index * 336 + 1 : chunk_index * 336 + 384]) AS n_words, md5(doc_id || '|fixed|' || chunk_index) AS chunk_id FROM c)"""
 _DENSE = f"""{_ASKED_SQL},
- qv AS (SELECT query_id, ts, embedding::DOUBLE[] AS qv FROM asked JOIN embeddings ON query_id = vec_id),
- ds AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, qv)"""
-_KEYWORD = r"""tk AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS t FROM documents),
- ks AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM tk, qv WHERE list_has_all(t, ts))"""
+ ds AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, asked WHERE qv IS NOT NULL)"""
+_KEYWORD = f"""tk AS (SELECT doc_id, list_distinct({_TERMS}) AS t FROM documents),
+ ks AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM tk, asked WHERE len(ts) > 0 AND list_has_all(t, ts))"""
 
 
 def _hybrid_sql(k: int) -> str:
@@ -78,7 +86,10 @@ def _hybrid(spark, d, k=20):
 # --- text
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS cleaned FROM documents""")
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_CLEAN}) AS cleaned FROM documents")
 def c1_clean_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(T.clean_text("text")).alias("cleaned"))
 
@@ -113,12 +124,32 @@ def c9_repeated_lines(spark, d):
     return repeated_lines(_t(spark, d, "documents", "source", "text"), "source")
 
 
-@query()
+def own_repeated_lines(pages: DataFrame, key: str, doc: str, learned: DataFrame, text: str, salts: int = 32) -> DataFrame:
+    """pages with gone: those of their own stripped lines that their document's learned lines hold.
+
+    Lines meet the learned ones on (document, line, salt), so that a document with any share of the pages, and a line that
+    all of them hold, spread over many tasks; a page gathers its own lines only. Pages with one key share them.
+    """
+    lines = pages.select(F.col(key).alias("_k"), F.col(doc).alias("_d"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.array_distinct(F.transform(T.lines(text), T.strip))).alias("line"))
+    known = learned.select(F.col(doc).alias("_d"), "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    hits = lines.join(known, ["_d", "_salt", "line"], "left_semi").groupBy("_k", "_d").agg(F.collect_set("line").alias("gone"))
+    held = pages.withColumnRenamed(key, "_k").withColumnRenamed(doc, "_d").join(hits, ["_k", "_d"], "left")
+    return held.withColumnRenamed("_k", key).withColumnRenamed("_d", doc)
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, {_PAGE_RAW} AS text FROM documents),
+ l AS (SELECT source, list_filter({_LINES}, lambda x: x <> '') AS l FROM documents),
+ e AS (SELECT source, unnest(list_concat(l[1:3], l[greatest(1, len(l) - 2):len(l)])) AS line FROM l),
+ r AS (SELECT source, line FROM e WHERE length(line) > 4 AND NOT {_IS_PAGE.format('line')} GROUP BY ALL HAVING count(*) >= 3),
+ g AS (SELECT source, list(line) AS gone FROM r GROUP BY source),
+ k AS (SELECT doc_id, array_to_string(list_filter(list_filter(string_split(text, chr(10)), lambda y: NOT coalesce(list_contains(gone, regexp_replace(y, '^\\s+|\\s+$', '', 'g')), false)), lambda z: NOT {_IS_PAGE.format("regexp_replace(z, '^\\s+|\\s+$', '', 'g')")}), chr(10)) AS text FROM p LEFT JOIN g USING (source))
+ SELECT doc_id, md5({_TIDY}) AS cleaned FROM k""")
 def c11_clean_pages(spark, d):
-    """Pages without what their document's learned lines and page numbers add. Learned lines: few for each document, gathered by it."""
+    """Pages without what their document's learned lines and page numbers add."""
     docs = _t(spark, d, "documents", "doc_id", "source", "text")
-    learned = repeated_lines(docs, "source").groupBy("source").agg(F.collect_set("line").alias("repeated"))
-    return docs.join(learned, "source", "left").select("doc_id", F.md5(T.clean_page("text", F.col("repeated"))).alias("cleaned"))
+    pages = docs.withColumn("page", T.join_hyphens(T.fix_ligatures(T.drop_cid(T.fix_encoding("text")))))
+    told = own_repeated_lines(pages.select("doc_id", "source", "page"), "doc_id", "source", repeated_lines(docs, "source"), "page")
+    return told.select("doc_id", F.md5(T.strip(T.tidy_spaces(T.drop_page_numbers(T.drop_lines("page", F.col("gone")))))).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, n_words, {_TOKENS} AS tokens FROM (SELECT doc_id, len({_WORDS})::BIGINT AS n_words FROM documents)")
@@ -135,19 +166,37 @@ def k11_sentences(spark, d):
 # --- chunks
 
 
+def _recursive_sql(source: str, size: int = 512, overlap: int = 64) -> str:
+    """CTEs for recursive chunks of a table with k and t: bodies(k, i, body, tail) and rc(k, chunk_index, text, n_words).
+
+    (Every white space in the given texts is a separator, so what has none left is one word, and fits.)
+    """
+    words = "len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))"
+    return rf"""sep AS (SELECT [chr(10) || chr(10), chr(10), '. ', '! ', '? ', '; ', ', ', ' '] AS seps),
+ s AS (SELECT k, [0]::BIGINT[] AS path, t, 0::BIGINT AS lv FROM {source}
+  UNION ALL SELECT k, list_append(path, i), p[i] || CASE WHEN i < len(p) THEN cut_at ELSE '' END, j
+   FROM (SELECT k, path, p, cut_at, j, unnest(range(1, len(p) + 1)) AS i FROM (SELECT k, path, string_split(t, seps[j]) AS p, seps[j] AS cut_at, j
+    FROM (SELECT s.*, seps, list_min(list_filter(range(lv + 1, 9), lambda x: contains(t, seps[x]))) AS j FROM s, sep WHERE {words} / 0.75 > {size}.5) WHERE j IS NOT NULL))),
+ o AS (SELECT k, t, greatest(1, round({words} / 0.75))::BIGINT AS n, row_number() OVER (PARTITION BY k ORDER BY path) AS i FROM s WHERE {words} BETWEEN 1 AND {int(0.75 * size)}),
+ m AS (SELECT k, i, t, 1::BIGINT AS c, n AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.k, o.i, o.t, c + (total + o.n > {size})::BIGINT, CASE WHEN total + o.n > {size} THEN o.n ELSE total + o.n END FROM m JOIN o ON o.k = m.k AND o.i = m.i + 1),
+ r_body AS (SELECT k, c, regexp_replace(string_agg(t, '' ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM m GROUP BY k, c),
+ bw AS (SELECT *, list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '') AS w FROM r_body),
+ rt AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY c) - 1 AS chunk_index, coalesce(array_to_string(lag(w) OVER (PARTITION BY k ORDER BY c)[-{round(0.75 * overlap)}:], ' ') || ' ', '') || body AS text FROM bw),
+ rc AS (SELECT k, chunk_index, text, {words.replace('(t,', '(text,')} AS n_words FROM rt)"""
+
+
 @query(f"WITH {_FIXED} SELECT doc_id, chunk_index, chunk_id, md5(text) AS text_md5, {_TOKENS} AS token_count, length(text)::BIGINT AS char_count FROM chunks")
 def k5_fixed_chunks(spark, d):
     return chunk.fixed_chunks(_t(spark, d, "documents")).select("doc_id", "chunk_index", "chunk_id", F.md5("text").alias("text_md5"), "token_count", "char_count")
 
 
-@query()
-def k6_recursive_chunks(spark, d):
-    return chunk.recursive_chunks(_t(spark, d, "documents", "doc_id", "text")).select("doc_id", "chunk_index", "chunk_id", "text", "token_count", "char_count")
+_DOCS_T = "(SELECT doc_id AS k, text AS t FROM documents)"
 
 
-@query()
-def k9_section_chunks(spark, d):
-    return chunk.section_chunks(markup.html_sections(_t(spark, d, "pages", "page_id", "html")), key="page_id")
+@query(f"WITH RECURSIVE {_recursive_sql(_DOCS_T)} SELECT k AS doc_id, chunk_index, md5(k || '|recursive|' || chunk_index) AS chunk_id, text, {_TOKENS} AS token_count, length(text)::BIGINT AS char_count FROM rc")
+def k6_recursive_chunks(spark, d):
+    return chunk.recursive_chunks(_t(spark, d, "documents", "doc_id", "text")).select("doc_id", "chunk_index", "chunk_id", "text", "token_count", "char_count")
 
 
 @query()
@@ -166,7 +215,8 @@ def k19_chunk_summary(spark, d):
     return chunk.summary(chunk.fixed_chunks(_t(spark, d, "documents"), keep=("lang",)).withColumnRenamed("lang", "strategy"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FIXED}, {_recursive_sql(_DOCS_T)}, both_ AS (SELECT 'fixed' AS strategy, {_TOKENS} AS n FROM chunks UNION ALL SELECT 'recursive', {_TOKENS} FROM rc)
+ SELECT strategy, count(*) AS count, round_even(avg(n), 0)::BIGINT AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM both_ GROUP BY strategy""")
 def k18_compare_strategies(spark, d):
     return chunk.compare(_t(spark, d, "documents", "doc_id", "text"))
 
@@ -195,17 +245,17 @@ def e1_j5_cache_misses(spark, d):
 
 @query(f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds) WHERE rank <= 20")
 def r1_dense_search(spark, d):
-    return search.dense_search(_t(spark, d, "embeddings"), [(q, v) for q, v, _ in _asked(spark, d)], 20, "vec_id")
+    return search.dense_search(_t(spark, d, "embeddings"), _asked(spark, d), 20, "vec_id")
 
 
 @query(f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds WHERE score >= 0.3) WHERE rank <= 20")
 def f6_dense_threshold(spark, d):
-    return search.dense_search(_t(spark, d, "embeddings"), [(q, v) for q, v, _ in _asked(spark, d)], 20, "vec_id", least=0.3)
+    return search.dense_search(_t(spark, d, "embeddings"), _asked(spark, d), 20, "vec_id", least=0.3)
 
 
 @query(f"WITH {_DENSE}, {_KEYWORD} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER AS rank FROM ks) WHERE rank <= 20")
 def r2_keyword_search(spark, d):
-    return search.keyword_search(_t(spark, d, "documents", "doc_id", "text"), [(q, t) for q, _, t in _asked(spark, d)], 20, "doc_id")
+    return search.keyword_search(_t(spark, d, "documents", "doc_id", "text"), _asked(spark, d), 20, "doc_id")
 
 
 @query(f"WITH {_hybrid_sql(20)} SELECT * FROM hybrid")
@@ -225,10 +275,9 @@ def r8_rerank(spark, d):
     return search.rerank(found, 5, F.length("text").cast("double")).select("query_id", "doc_id", "score", "original_score", "rank")
 
 
-@query(f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds WHERE query_id = 7 AND doc_id <> 7) WHERE rank <= 5")
+@query(f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id AS vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds WHERE doc_id <> query_id) WHERE rank <= 5")
 def r12_more_like_this(spark, d):
-    vec = next(v for q, v, _ in _asked(spark, d) if q == 7)
-    return search.more_like_this(_t(spark, d, "embeddings"), 7, vec, 5, "vec_id")
+    return search.more_like_this(_t(spark, d, "embeddings"), _asked(spark, d), 5, "vec_id")
 
 
 _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS t FROM documents),
@@ -241,7 +290,7 @@ _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{
 
 @query(f"WITH {_ASKED_SQL}, {_BM25} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM b) WHERE rank <= 20")
 def g1_bm25(spark, d):
-    return search.bm25(_t(spark, d, "documents", "doc_id", "text"), [(q, list(t)) for q, t in ASKED])
+    return search.bm25(_t(spark, d, "documents", "doc_id", "text"), _asked(spark, d))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'fr' AND source IN ('src1', 'src3', 'src5')")
@@ -315,7 +364,13 @@ def a6_j2_citations(spark, d):
     return context.citations(ans, _sources(spark, d, ans))
 
 
-@query()
+_SET = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]{{4,}}'))"
+
+
+@query(rf"""WITH {_ANSWERS}, {_SRC}, m AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(answer, '\[(\d+)\]', 1))::BIGINT AS rank FROM ans),
+ c AS (SELECT m.query_id, m.rank, doc_id, text, regexp_extract(answer, '[^.!?]*\[' || m.rank || '\][^.!?]*[.!?]?') AS claim FROM m JOIN ctx USING (query_id, rank) JOIN ans USING (query_id)),
+ s AS (SELECT *, {_SET.format('claim')} AS a, {_SET.format('text')} AS b FROM c)
+ SELECT query_id, rank::INTEGER AS rank, doc_id, regexp_replace(substr(text, 1, 400), '^\s+|\s+$', '', 'g') || CASE WHEN length(text) > 400 THEN '…' ELSE '' END AS excerpt, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE AS support FROM s""")
 def a7_verified_citations(spark, d):
     ans = _answers(spark, d)
     return context.citations(ans, _sources(spark, d, ans), chars=400, verified=True)
@@ -326,9 +381,6 @@ def a8_first_claim(spark, d):
     return _answers(spark, d).select("query_id", context.first_claim("answer", F.lit(1)).alias("claim"))
 
 
-_SET = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]{{4,}}'))"
-
-
 @query(f"WITH l AS (SELECT i.item_id, d.doc_id, {_SET.format('i.text')} AS a, {_SET.format('d.text')} AS b FROM benchmark i JOIN documents d ON d.doc_id = i.item_id) SELECT item_id, doc_id, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE AS support FROM l")
 def a9_u2_support(spark, d):
     i = _t(spark, d, "benchmark", "item_id", F.col("text").alias("claim"))
@@ -371,12 +423,12 @@ def g6_topic_count(spark, d):
     return catalog.topic_count(_hybrid(spark, d, 50))
 
 
-@query(f"WITH {_hybrid_sql(50)} SELECT coalesce(nullif(source, ''), 'Unknown') AS source, count(*) AS passages, min(rank) AS first_rank FROM hybrid LEFT JOIN documents USING (doc_id) GROUP BY 1")
+@query(f"WITH {_hybrid_sql(50)} SELECT *, row_number() OVER (ORDER BY passages DESC, first_rank, source)::INTEGER AS position FROM (SELECT coalesce(nullif(source, ''), 'Unknown') AS source, count(*) AS passages, min(rank) AS first_rank FROM hybrid LEFT JOIN documents USING (doc_id) GROUP BY 1)")
 def g7_topic_by_department(spark, d):
     return catalog.topic_by(_hybrid(spark, d, 50).join(_t(spark, d, "documents", "doc_id", "source"), "doc_id", "left"), "source")
 
 
-@query(f"WITH {_hybrid_sql(50)} SELECT coalesce(nullif(lang, ''), 'Unknown') AS lang, count(*) AS passages, min(rank) AS first_rank FROM hybrid LEFT JOIN documents USING (doc_id) GROUP BY 1")
+@query(f"WITH {_hybrid_sql(50)} SELECT *, row_number() OVER (ORDER BY passages DESC, first_rank, lang)::INTEGER AS position FROM (SELECT coalesce(nullif(lang, ''), 'Unknown') AS lang, count(*) AS passages, min(rank) AS first_rank FROM hybrid LEFT JOIN documents USING (doc_id) GROUP BY 1)")
 def g8_topic_by_doc_type(spark, d):
     return catalog.topic_by(_hybrid(spark, d, 50).join(_t(spark, d, "documents", "doc_id", "lang"), "doc_id", "left"), "lang")
 
@@ -423,7 +475,7 @@ def j_orphans(spark, d):
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def u3_duplicate_texts(spark, d):
-    return catalog.duplicates(_t(spark, d, "documents", "text"), "text")
+    return catalog.duplicate_texts(_t(spark, d, "documents", "text"))
 
 
 @query("SELECT event_id, value FROM events WHERE value < 1 OR value > 5")
@@ -454,12 +506,65 @@ def x3_html_title(spark, d):
     return markup.html_metadata(_t(spark, d, "pages", "page_id", "html")).select("page_id", "title")
 
 
-@query()
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&quot;": '"', "&#39;": "''", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def _unescaped(x: str) -> str:
+    for k, v in _ENTITIES.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+#: The given pages hold one article each, whose text stands between tags; longer rules are tested on made pages.
+_SECTIONS = rf"""b AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS b FROM pages),
+ h AS (SELECT page_id, regexp_replace(regexp_replace({_unescaped("regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1)")}, '[ \t\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS h, regexp_replace(b, '(?s)^.*?</h1>', '') AS b FROM b),
+ p AS (SELECT page_id, h, list_filter(list_transform(regexp_split_to_array(b, '<[^>]*>'), lambda x: regexp_replace(regexp_replace({_unescaped('x')}, '[ \t\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda y: y <> '') AS p FROM h),
+ sections AS (SELECT page_id, 0 AS section_no, h AS heading, 1 AS level, array_to_string(p, chr(10) || chr(10)) AS text, false AS has_table FROM p WHERE len(p) > 0
+  UNION ALL SELECT page_id, 0, NULL, 0, h, false FROM p WHERE len(p) = 0)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT page_id, section_no, heading, level, text, has_table FROM sections")
 def x6_html_sections(spark, d):
     return markup.html_sections(_t(spark, d, "pages", "page_id", "html"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_SECTIONS}, {_recursive_sql("(SELECT page_id || '|' || section_no AS k, text AS t FROM sections)")},
+ x AS (SELECT page_id, section_no, heading, level, has_table, rc.text, n_words, row_number() OVER (PARTITION BY page_id ORDER BY section_no, rc.chunk_index) - 1 AS chunk_index FROM rc JOIN sections ON k = page_id || '|' || section_no)
+ SELECT page_id, section_no, heading, level, has_table, text, {_TOKENS} AS token_count, length(text)::BIGINT AS char_count, chunk_index, md5(page_id || '|recursive|' || chunk_index) AS chunk_id FROM x""")
+def k9_section_chunks(spark, d):
+    return chunk.section_chunks(markup.html_sections(_t(spark, d, "pages", "page_id", "html")), key="page_id")
+
+
+@query(rf"""WITH {_SECTIONS} SELECT page_id, text AS raw_text, len({_WORDS})::BIGINT AS word_count FROM sections""")
+def x8_html_raw_text(spark, d):
+    return markup.html_raw_text(_t(spark, d, "pages", "page_id", "html"))
+
+
+@query(r"""WITH m AS (SELECT page_id, '<head><meta name="Author" content=" ' || page_id || ' "><meta property="og:url" content="' || url || '"><meta name="date" content=""><meta name="description" content="about ' || page_id || '"><meta property="article:modified_time" content="2020-01-02"></head>' AS head, url FROM pages)
+ SELECT page_id, 'Page ' || page_id AS title, page_id::VARCHAR AS author, NULL::VARCHAR AS created, '2020-01-02' AS modified, url, 'about ' || page_id AS description,
+ 'article:modified_time=2020-01-02; author=' || page_id || '; description=about ' || page_id || '; og:url=' || url AS meta FROM m""")
+def x3_html_metadata(spark, d):
+    """Metadata planted on each page's address; the title comes from the file's name."""
+    pages = _t(spark, d, "pages", "page_id", "url")
+    page = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<head><meta name="Author" content=" '), page, F.lit(' "><meta property="og:url" content="'), "url", F.lit('"><meta name="date" content=""><meta name="description" content="about '), page, F.lit('"><meta property="article:modified_time" content="2020-01-02"></head>'))
+    planted = pages.select("page_id", head.alias("html"), F.concat(F.lit("/in/page_"), page, F.lit(".html")).alias("path"))
+    pairs = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return markup.html_metadata(planted, name="path").withColumn("meta", F.array_join(pairs, "; "))
+
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_TEXT_SECTIONS = rf"""l AS (SELECT doc_id, i AS pos, t[i] AS line, {_STRIP.format('t[i]')} AS s FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
+ n AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY pos), '') AS a FROM l),
+ h AS (SELECT *, CASE WHEN s = '' OR regexp_matches(s, '^[=-]+$') THEN NULL WHEN regexp_matches(a, '^={{3,}}$') THEN 1 WHEN regexp_matches(a, '^-{{3,}}$') THEN 2
+   WHEN regexp_matches(s, '^\d+(\.\d+)*\.?\s+\S') AND length(s) < 80 THEN least(3, length(regexp_replace(regexp_extract(s, '^\d+(\.\d+)*'), '[^.]', '', 'g')) + 1)
+   WHEN upper(s) = s AND lower(s) <> s AND length(s) BETWEEN 3 AND 60 AND s NOT LIKE '%.' THEN 1 WHEN s LIKE '%:' AND length(s) <= 60 THEN 3 END AS level FROM n),
+ u AS (SELECT *, regexp_matches(s, '^[=-]+$') AND coalesce(lag(level IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY pos), false) AS under FROM h),
+ g AS (SELECT *, sum((level IS NOT NULL)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM u WHERE NOT under),
+ k AS (SELECT doc_id, sec, max(CASE WHEN level = 3 AND s LIKE '%:' AND NOT regexp_matches(s, '^\d+(\.\d+)*\.?\s+\S') THEN rtrim(s, ':') WHEN level IS NOT NULL THEN s END) AS heading, coalesce(max(level), 0)::INTEGER AS level, {_STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL), '')")} AS text FROM g GROUP BY doc_id, sec)"""
+
+
+@query(f"WITH {_TEXT_SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS section_no, heading, level, text, false AS has_table FROM k WHERE text <> ''")
 def x_text_sections(spark, d):
     return markup.text_sections(_t(spark, d, "documents", "doc_id", "text"))
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, chunk, context, jobs, search, tools
-from .registry import _FIXED, _asked, _hybrid, _hybrid_sql, _ranked_chunks, _t, query
+from ..sources import files, points
+from .prepare import _FILES, _files
+from .registry import _CLEAN, _FIXED, _WORDS, _asked, _hybrid, _hybrid_sql, _ranked_chunks, _t, query
 
 
 @query(f"""WITH {_hybrid_sql(10)}
@@ -83,11 +85,78 @@ def i3_failures(spark, d):
     return jobs.failures(own.select((F.col("user_id") % 40 * 1000 + day).alias("job_id"), F.when(bad, F.col("props")).alias("error"), "ts"))
 
 
-@query(f"WITH {_FIXED} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(DISTINCT chunk_id) AS points FROM chunks")
+_PARSED = rf"""{_FILES}, p AS (SELECT stem AS doc_id, {_CLEAN} AS text FROM f WHERE suffix IN ('txt', 'md', 'log')),
+ w AS (SELECT doc_id, {_WORDS} AS w FROM p),
+ c AS (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, ceil((len(w) - 384) / 336.0))::BIGINT)) AS chunk_index FROM w WHERE len(w) > 0),
+ chunks AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * 336 + 1 : chunk_index * 336 + 384], ' ') AS text, md5(doc_id || '|fixed|' || chunk_index) AS chunk_id FROM c)"""
+
+
+def _ingested(spark, d):
+    """From files to points in one plan: read by suffix, clean, cut, key. Returns the files, their texts, chunks and points."""
+    given = _files(spark, d)
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    texts = files.text_documents(given).select(stem.alias("doc_id"), F.col("raw_text").alias("text"))
+    made = chunk.fixed_chunks(texts)
+    held = points.to_points(made.select("chunk_id", "doc_id", "chunk_index", "text", F.lit(None).cast("array<double>").alias("embedding")))
+    return given, texts, made, held
+
+
+@query(f"""WITH {_PARSED} SELECT 'files' AS step, count(*) AS n FROM f UNION ALL SELECT 'documents', count(*) FROM p UNION ALL SELECT 'chunks', count(*) FROM chunks
+ UNION ALL SELECT 'points', count(DISTINCT chunk_id) FROM chunks UNION ALL SELECT 'indexed', count(DISTINCT doc_id) FROM chunks""")
 def i4_ingested(spark, d):
-    """Parse, chunk, key: what one run adds; a second run adds the same keys."""
-    made = chunk.fixed_chunks(_t(spark, d, "documents"))
-    return made.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_id").alias("points"))
+    """What each step of one run adds; a second run adds the same keys."""
+    given, texts, made, held = _ingested(spark, d)
+    index = files.index_records(texts, made).filter("status = 'indexed'")
+    steps = {"files": given, "documents": texts, "chunks": made, "points": held.select("point_id").distinct(), "indexed": index}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("step"), "n") for m, df in steps.items()])
+
+
+@query(f"""WITH {_PARSED}, g AS (SELECT md5(stem || '|fixed|' || 0) AS chunk_id FROM f WHERE doc_id % 3 = 0)
+ SELECT count(*) FILTER (chunk_id IN (SELECT chunk_id FROM g)) AS deleted, count(*) FILTER (chunk_id NOT IN (SELECT chunk_id FROM g)) AS left_over FROM chunks""")
+def s14_deleted_points(spark, d):
+    """Points deleted by the ids of their chunks, with a true count: some of the ids asked for are in no table."""
+    given, _, _, held = _ingested(spark, d)
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    asked = given.filter("doc_id % 3 = 0").select(points.point_id(chunk.chunk_id(stem, "fixed", F.lit(0))).alias("point_id"))
+    return points.deleted(held, asked)
+
+
+@query("SELECT conv_id * 1000 + turn AS id, 'q ' || conv_id || '.' || turn AS question, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS ground_truth, len(['a', role]) AS n_contexts FROM conversations WHERE turn % 5 <> 4")
+def s12_questions(spark, d):
+    """Evaluation questions as JSON lines, some of them blank."""
+    c = _t(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    asked = F.concat(F.lit("q "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    line = F.to_json(F.struct(asked.alias("question"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("ground_truth"), F.array(F.lit("a"), "role").alias("contexts")))
+    told = files.parse_questions(c.select(F.when(F.col("turn") % 5 == 4, "  ").otherwise(line).alias("value")))
+    parts = F.split(F.substring("question", 3, 100), r"\.")
+    return told.select((parts[0].cast("long") * 1000 + parts[1].cast("long")).alias("id"), "question", "ground_truth", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+@query("SELECT md5(text) AS key, count(*) AS n FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY text HAVING max(doc_id) * 60 < 30000) GROUP BY 1")
+def e3_expired_cache(spark, d):
+    """Texts that were cached a minute for each id before noon: those older than 30,000 seconds are embedded anew."""
+    docs = _t(spark, d, "documents", "doc_id", "text")
+    noon = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
+    cache = docs.groupBy(F.md5("text").alias("key")).agg(F.max("doc_id").alias("age")).select("key", (F.timestamp_seconds(F.unix_timestamp(noon) - F.col("age") * 60)).alias("cached_at"))
+    hits, _ = catalog.cache_split(docs.select("text"), cache, now=noon, ttl_seconds=30_000)
+    return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, ['UTF-8', 'ISO-8859-1', 'UTF-16LE', 'UTF-16BE', 'UTF-8'][doc_id % 5 + 1] AS encoding FROM documents WHERE doc_id % 5 <> 1 OR NOT regexp_matches(text, '^[\\x00-\\x7f]*$')")
+def s4_decoded(spark, d):
+    """Texts as bytes in several encodings, with and without marks, and back. (Latin-1 that is ASCII is UTF-8 too.)"""
+    docs = _t(spark, d, "documents", "doc_id", "text").filter("doc_id % 5 <> 1 OR NOT text RLIKE '^[\\\\x00-\\\\x7f]*$'")
+    kinds = [("UTF-8", ""), ("ISO-8859-1", ""), ("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF"), ("UTF-8", "EFBBBF")]
+    made = F.array(*[F.concat(F.unhex(F.lit(mark)), F.encode("text", name)) for name, mark in kinds])
+    held = docs.select("doc_id", F.element_at(made, (F.col("doc_id") % 5 + 1).cast("int")).alias("content"))
+    return held.select("doc_id", F.md5(files.decoded("content")).alias("text_md5"), files.encoding("content").alias("encoding"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(lang || ', ' || source || ' ,, x ', ','), lambda t: trim(t)), lambda u: u <> ''), '|') AS tags FROM documents")
+def s11_tags(spark, d):
+    docs = _t(spark, d, "documents", "doc_id", "lang", "source")
+    given = docs.select("doc_id", F.concat("lang", F.lit(", "), "source", F.lit(" ,, x ")).alias("given"))
+    return given.select("doc_id", F.array_join(files.tags(F.col("given")), "|").alias("tags"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'running' ELSE 'pending' END AS status FROM labels WHERE toxic = 1 OR quality <> 1")

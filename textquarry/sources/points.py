@@ -34,3 +34,10 @@ def stats(points: DataFrame, vector: str = "vector") -> DataFrame:
     """points, least and most dimensions, and points without a vector."""
     n = F.size(vector)
     return points.agg(F.count(F.lit(1)).alias("points"), F.min(F.when(F.col(vector).isNotNull(), n)).alias("least_dims"), F.max(F.when(F.col(vector).isNotNull(), n)).alias("most_dims"), F.count_if(F.col(vector).isNull()).alias("without_vector"))
+
+
+def deleted(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
+    """One row: how many points have one of the ids, which may name points that are not there, and how many are left over."""
+    asked = ids.select(key).distinct().withColumn("_gone", F.lit(True))
+    told = points.select(key).join(asked, key, "left")
+    return told.agg(F.count("_gone").alias("deleted"), F.count_if(F.col("_gone").isNull()).alias("left_over"))
