@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) unless keep_text is false."""
     rest = [c for c in docs.columns if c != text and c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     # A row's salt comes from its other columns: copies of a text spread, and a lost task's rows come back alike.
-    who = (F.xxhash64(*rest) if rest else F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    who = (F.xxhash64(*map(quoted, rest)) if rest else F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     salt = F.pmod(F.col("who"), F.lit(64)).cast("int")
     told = docs.select(F.col(text).alias("text"), who.alias("who"))
     runs = materialise(runs_of(told, "text", length, gram).withColumn("salt", salt))
