@@ -169,7 +169,7 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
 
     start() is called once in each task and returns a function from a value to a tuple (with many: to a list of tuples,
     each of which becomes a row; with together: from a list of values to a list of results). A column that is named like
-    a made one is replaced; `column` goes unless keep. No name of df's can clash: the value goes first, by place.
+    a made one is replaced; `column` goes unless keep. Any names of df's columns will do.
     """
     kept = [f for f in df.schema if f.name not in made and (keep or f.name != column)]
     names, types = [*(f.name for f in kept), *made], [_TYPES[k] for k in made.values()]
@@ -183,11 +183,13 @@ def per_value(df: DataFrame, column: str, made: dict[str, str], start: Callable,
                 at = pa.array([i for i, own in enumerate(rows) for _ in own], pa.int64())
                 rows, others = list(chain.from_iterable(rows)), [c.take(at) for c in others]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([*others, *(pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*others, *(pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True))], names=inner)
 
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, (t, _) in zip(made, types, strict=True))])
-    value = next(n for n in ("value", *(f"value_{i}" for i in range(len(names)))) if n not in {f.name for f in kept})
-    return df.select(F.col(column).alias(value), *(F.col(quoted(f.name)) for f in kept)).mapInArrow(run, schema)
+    fields = [*((f.name, f.dataType) for f in kept), *((n, t) for n, (t, _) in zip(made, types, strict=True))]
+    inner = [f"_{i}" for i in range(len(fields))]  # names inside are places, so that no name of df's can clash or need quoting
+    schema = T.StructType([T.StructField(i, t) for i, (_, t) in zip(inner, fields, strict=True)])
+    held = df.select(F.col(column).alias("value"), *(F.col(quoted(f.name)).alias(i) for i, f in zip(inner, kept, strict=False)))
+    return held.mapInArrow(run, schema).toDF(*names)
 
 
 def quoted(name: str) -> str:
