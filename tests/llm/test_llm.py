@@ -254,7 +254,22 @@ def test_components(spark):
 
 
 def test_mixing(spark):
-    assert mixing.min_cost_flow([(("a",), 10), (("a", "b"), 10)], {"a": 15, "b": 10}) == [12, 13] or sum(mixing.min_cost_flow([(("a",), 10), (("a", "b"), 10)], {"a": 15, "b": 10})) == 25
+    rnd = random.Random(13)
+    for _ in range(60):  # the flow meets as much of the quotas as can be, at the least cost, by trying all
+        patterns = [(tuple(sorted(rnd.sample("abc", rnd.randint(1, 3)))), rnd.randint(0, 2)) for _ in range(2)]
+        quotas = {k: rnd.randint(0, 4) for k in "abc"}
+        most = [3 * n for _, n in patterns]
+        cost = lambda flow: sum(sum(1 + i // n for i in range(f)) for f, (_, n) in zip(flow, patterns, strict=True) if n)
+
+        def fits(flow, patterns=patterns, quotas=quotas):
+            """Whether patterns can give so much: no set of patterns gives more than the sources it reaches take (Hall)."""
+            sets = [[0], [1], [0, 1]]
+            return all(sum(flow[i] for i in own) <= sum(quotas[k] for k in {k for i in own for k in patterns[i][0]}) for own in sets)
+
+        every = [(x, y) for x in range(most[0] + 1) for y in range(most[1] + 1) if fits((x, y))]
+        best = max(map(sum, every))
+        got = mixing.min_cost_flow(patterns, quotas)
+        assert sum(got) == best and fits(got) and cost(got) == min(cost(f) for f in every if sum(f) == best)
     assert mixing.min_cost_flow([(("a",), 10)], {"a": 100}) == [30]
     rows = [(i, f"s{i % 4}" if i % 5 else None, " ".join(["w"] * (i % 17))) for i in range(300)] + [(1, "s1", None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
