@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 #: Ligatures and what they stand for (fixed values).
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ĳ": "ij", "Ĳ": "IJ"}
+#: What a line with a page number looks like (fixed values).
 PAGE_NUMBER = (r"^[-–—\s]*\d{1,4}[-–—\s]*$", r"(?i)^page\s+\d+(\s+(of|/)\s+\d+)?$", r"^\d+\s*/\s*\d+$")
 
 
@@ -36,7 +37,7 @@ def nfc(c) -> Column:
     """Canonical composition, for which Spark has no expression."""
 
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else None)
+        return s.map(lambda x: None if not isinstance(x, str) else x if x.isascii() else unicodedata.normalize("NFC", x))
 
     return F.pandas_udf(compose, "string")(_col(c))
 
@@ -50,10 +51,10 @@ def drop_cid(c) -> Column:
 
 
 def fix_ligatures(c) -> Column:
-    c = _col(c)
+    c = whole = _col(c)
     for k, v in LIGATURES.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+        whole = F.replace(whole, F.lit(k), F.lit(v))
+    return F.when(c.rlike(f"[{''.join(LIGATURES)}]"), whole).otherwise(c)  # few texts hold any
 
 
 def join_hyphens(c) -> Column:
@@ -65,9 +66,9 @@ def tidy_spaces(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"(?<!\n) {2,}", " ")
 
 
-def is_page_number(line: Column) -> Column:
-    s = strip(line)
-    return F.coalesce(s.rlike(PAGE_NUMBER[0]) | s.rlike(PAGE_NUMBER[1]) | s.rlike(PAGE_NUMBER[2]), F.lit(False))
+def is_page_number(line: Column, stripped: bool = False) -> Column:
+    one = "|".join(f"(?:{p})" for p in PAGE_NUMBER)
+    return F.coalesce((line if stripped else strip(line)).rlike(one), F.lit(False))
 
 
 def drop_page_numbers(c) -> Column:

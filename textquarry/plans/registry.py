@@ -111,10 +111,10 @@ def c8_page_number_lines(spark, d):
 
 def repeated_lines(pages: DataFrame, doc: str, text: str = "text", least: int = 3) -> DataFrame:
     """doc, line, n: lines among the first and last three of a page that occur `least` times; occurrences, not pages, count."""
-    own = F.filter(F.transform(T.lines(text), T.strip), lambda x: x != "")
+    own = F.filter(T.lines(text), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
     ends = F.concat(F.slice("l", 1, 3), F.slice(F.col("l"), F.greatest(F.lit(1), F.size("l") - 2), F.lit(3)))
-    line = pages.select(doc, own.alias("l")).filter(F.size("l") > 0).select(doc, F.explode(ends).alias("line"))
-    return line.filter((F.length("line") > 4) & ~T.is_page_number(F.col("line"))).groupBy(doc, "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    line = pages.select(doc, own.alias("l")).filter(F.size("l") > 0).select(doc, F.explode(F.transform(ends, T.strip)).alias("line"))
+    return line.filter((F.length("line") > 4) & ~T.is_page_number(F.col("line"), stripped=True)).groupBy(doc, "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 @query(f"""WITH l AS (SELECT source, list_filter({_LINES}, lambda x: x <> '') AS l FROM documents),
