@@ -134,6 +134,9 @@ def test_media_tables_and_errors(spark, monkeypatch):
     pcm = np.arange(-5000, 5000, 7).astype(np.int16)
     whole = media.resample(pcm, 8000, 11025)
     assert np.abs(whole - np.interp(np.arange(len(whole)) * 8000 / 11025, np.arange(len(pcm)), pcm)).max() <= 0.51
+    for to in (16000, 24000):
+        parts = [media.resample(pcm, 8000, to, i, i + 7) for i in range(0, len(pcm) * to // 8000, 7)]  # starts between samples too
+        assert np.array_equal(media.resample(pcm, 8000, to), np.concatenate(parts))
     monkeypatch.setattr(media, "PIECE", 50)
     monkeypatch.setattr(media, "MANY", 1)
     assert media.adpcm_blocks(block * 2, 6).tolist() == want * 2

@@ -116,7 +116,17 @@ def expand(codec: str, data: bytes, block: int) -> np.ndarray:
 def resample(pcm: np.ndarray, rate: int, to: int, first: int = 0, last: int | None = None) -> np.ndarray:
     """Output samples first to last (all, if None) of pcm at another rate: between the two samples around each one's time."""
     n = len(pcm) * to // rate
-    at = np.arange(first, n if last is None else min(last, n), dtype=np.int64) * rate
+    last = n if last is None else min(last, n)
+    times = to // rate
+    if times * rate == to and first % times == 0 and first < last:  # a whole number of samples for each one
+        i, j = first // times, -(-last // times)
+        x = pcm[i:j].astype(np.float64)
+        rise = np.append(pcm[i + 1 : j], pcm[min(j, len(pcm) - 1)]) - x
+        out = np.empty((j - i, times), np.int16)
+        for k in range(times):
+            out[:, k] = np.round(x + rise * (k / times)) if k else x
+        return out.reshape(-1)[: last - first]
+    at = np.arange(first, last, dtype=np.int64) * rate
     i, part = at // to, at % to
     a = pcm[i].astype(np.float64)
     b = pcm[np.minimum(i + 1, len(pcm) - 1)] if len(pcm) else a
@@ -177,21 +187,37 @@ def decode_media(df: DataFrame, media: str = "media", to: int = 16000, keep_pcm:
     """df with what its containers hold: the stored payload's size and digests, the container's, and the resampled PCM with features."""
     made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_error": "string"} | ({"pcm": "binary"} if keep_pcm else {})
 
-    def one(m: bytes) -> tuple:
-        try:
-            codec, rate, block, data = read_wave(m)
-            held = payload(codec, data, block)
-            pcm, seen, out = expand(codec, data, block), Features(), []
-            for piece in resample_in_pieces(pcm, rate, to):
-                seen.add(piece)
-                if keep_pcm:
-                    out.append(piece.astype("<i2").tobytes())
-        except (ValueError, struct.error, TypeError) as e:
-            return (None,) * 6 + (str(e),) + (None,) * keep_pcm
+    def measured(m: bytes, codec: str, rate: int, block: int, data: bytes, pcm: np.ndarray) -> tuple:
+        held, seen, out = payload(codec, data, block), Features(), []
+        for piece in resample_in_pieces(pcm, rate, to):
+            seen.add(piece)
+            if keep_pcm:
+                out.append(piece.astype("<i2").tobytes())
         feature = f"{codec}/{rate}>{to} n={seen.n} energy={seen.energy} sum={seen.sum} peak={seen.peak} crossings={seen.crossings}"
         return (len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, None, *([b"".join(out)] if keep_pcm else []))
 
-    return per_value(df, media, made, lambda: one)
+    def some(media: list[bytes]) -> list[tuple]:
+        read: list[tuple | str] = []
+        for m in media:
+            try:
+                read.append(read_wave(m))
+            except (ValueError, struct.error, TypeError) as e:
+                read.append(str(e))
+        linear: dict[int, np.ndarray] = {}
+        for block in {r[2] for r in read if r[0] == "ima_adpcm" and r[2] > HEADER}:  # blocks of all media at once
+            own = [i for i, r in enumerate(read) if r[0] == "ima_adpcm" and r[2] == block]
+            n = [len(read[i][3]) // block for i in own]
+            samples = adpcm_blocks(b"".join(read[i][3][: k * block] for i, k in zip(own, n, strict=True)), block)
+            linear.update(zip(own, np.split(samples, np.cumsum(n)[:-1] * (2 * (block - HEADER) + 1)), strict=True))
+        out = []
+        for i, (m, r) in enumerate(zip(media, read, strict=True)):
+            if isinstance(r, str) or (r[0] == "ima_adpcm" and i not in linear):
+                out.append((None,) * 6 + (r if isinstance(r, str) else "blocks without samples",) + (None,) * keep_pcm)
+            else:
+                out.append(measured(m, *r, linear[i] if i in linear else expand(r[0], r[3], r[2])))
+        return out
+
+    return per_value(df, media, made, lambda: some, together=True)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
