@@ -104,8 +104,17 @@ def variants(markup: str, n: int = 8) -> list[str]:
         body = article
         for spot in [p.start() for p in _PARA.finditer(body)][::-1]:
             if rng.random() < 0.15:
-                own = [f"<h2>{say(1, 6)}</h2>", "<ul>" + "".join(f"<li>{say(3, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>", f"<blockquote>{say(8, 50)}</blockquote>", f"<blockquote><p>{say(8, 50)}</p></blockquote>"]
-                own += [f"<table><tr><th>{say(1, 2)}<th>{say(1, 2)}</tr><tr><td>{say(1, 9)}<td>{say(1, 9)}</tr></table>", f"<pre>{say(5, 40)}</pre>", f"<p>{say(1, 6)}</p>", f"<h3>{say(1, 5)}</h3>", f"<figure><figcaption>{say(3, 12)}</figcaption></figure>"]
+                own = [
+                    f"<h2>{say(1, 6)}</h2>",
+                    "<ul>" + "".join(f"<li>{say(3, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>",
+                    f"<blockquote>{say(8, 50)}</blockquote>",
+                    f"<blockquote><p>{say(8, 50)}</p></blockquote>",
+                    f"<table><tr><th>{say(1, 2)}<th>{say(1, 2)}</tr><tr><td>{say(1, 9)}<td>{say(1, 9)}</tr></table>",
+                    f"<pre>{say(5, 40)}</pre>",
+                    f"<p>{say(1, 6)}</p>",
+                    f"<h3>{say(1, 5)}</h3>",
+                    f"<figure><figcaption>{say(3, 12)}</figcaption></figure>",
+                ]
                 body = body[:spot] + pick(own) + body[spot:]
             if rng.random() < 0.1:
                 body = body[:spot] + noise().replace(">", " data-main=0>", 1) + body[spot:]

@@ -185,7 +185,15 @@ def payload(codec: str, data: bytes, block: int) -> bytes:
 
 def decode_media(df: DataFrame, media: str = "media", to: int = 16000, keep_pcm: bool = True) -> DataFrame:
     """df with what its containers hold: the stored payload's size and digests, the container's, and the resampled PCM with features."""
-    made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_error": "string"} | ({"pcm": "binary"} if keep_pcm else {})
+    made = {
+        "payload_bytes": "long",
+        "payload_sha256": "string",
+        "tail_crc32": "long",
+        "media_bytes": "long",
+        "media_sha256": "string",
+        "feature": "string",
+        "media_error": "string",
+    } | ({"pcm": "binary"} if keep_pcm else {})
 
     def measured(m: bytes, codec: str, rate: int, block: int, data: bytes, pcm: np.ndarray) -> tuple:
         held, seen, out = payload(codec, data, block), Features(), []

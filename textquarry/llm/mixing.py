@@ -88,7 +88,9 @@ def mix(docs: DataFrame, sources: str, size: str, key: str = "doc_id", seed: int
     targets = materialise(source_targets(each.groupBy("source").agg(F.sum("_size").alias("source_size")), total, weights, most))
     names = each.select("_pattern", F.to_json(F.array("source")).alias("s"))
     grouped = components(names.join(names.select(F.col("s"), F.col("_pattern").alias("p2")).groupBy("s").agg(F.min("p2").alias("p2")), "s").select(F.col("_pattern").alias("a"), F.col("p2").alias("b")))
-    routed = each.join(targets, each["source"].eqNullSafe(targets["source"])).select("_pattern", "_size", F.to_json(F.array(each["source"])).alias("s"), F.least(F.round("target"), F.col("source_size") * most).cast("long").alias("quota"))
+    quota = F.least(F.round("target"), F.col("source_size") * most).cast("long").alias("quota")
+    met = each.join(targets, each["source"].eqNullSafe(targets["source"]))
+    routed = met.select("_pattern", "_size", F.to_json(F.array(each["source"])).alias("s"), quota)
     routed = routed.join(grouped, F.col("_pattern") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_pattern"))
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +99,8 @@ def mix(docs: DataFrame, sources: str, size: str, key: str = "doc_id", seed: int
         return pd.DataFrame({"_pattern": [p for p, _, _ in own], "_flow": flow})
 
     flows = routed.groupBy("root").applyInPandas(solve, "_pattern string, _flow long")
-    plan = patterns.select("_pattern", "_size").join(flows, "_pattern").select(F.col("_pattern").alias("p"), F.when(F.col("_size") > 0, F.floor(F.col("_flow") / F.col("_size"))).otherwise(0).alias("_rounds"), F.col("_flow"), F.col("_size").alias("_all"))
+    rounds = F.when(F.col("_size") > 0, F.floor(F.col("_flow") / F.col("_size"))).otherwise(0).alias("_rounds")
+    plan = patterns.select("_pattern", "_size").join(flows, "_pattern").select(F.col("_pattern").alias("p"), rounds, "_flow", F.col("_size").alias("_all"))
     plan = plan.select("p", "_rounds", (F.col("_flow") - F.col("_rounds") * F.col("_all")).alias("_rest"))
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     ordered = keyed.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 1, 3))

@@ -1,7 +1,8 @@
 """Near copies by five-word shingles: exact Jaccard similarity of at least ``LEAST``, for the pipeline's near-dedup stage.
 
-Fingerprints cannot deal such pairs out: at similarity 0.8 about 10 of 64 bits differ, and up to 20. So each set of
-shingles gets ``BANDS`` keys, each of ``DEPTH`` minima of its hashes; a pair at 0.8 shares none of them with a chance of
+Candidates come from two sides. SimHash links (the operator's own: deals, pivot distance tables, two bits) find the
+closest. Fingerprints cannot deal out the rest: at similarity 0.8 about 10 of 64 bits differ, and up to 20. So each set of
+shingles also gets ``BANDS`` keys, each of ``DEPTH`` minima of its hashes; a pair at 0.8 shares none of them with a chance of
 (1 - 0.8 ** 5) ** 36, less than one in a million, and a pair above still less. Pairs that share a key are candidates, and only
 those whose sets, compared in full, are similar enough become links.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import SALTS, forget, join_hot, materialise, per_value, row_digest, salted
 from .graph import components
+from .simhash import close_pairs, majority, signed
 
 WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 36, 5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,15 +46,15 @@ def shingles(text: str | None, words_each: int = WORDS) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=False)], np.uint64))
 
 
-def sketch(text: str | None) -> tuple[bytes, list[int]]:
-    """The digest of the set of shingles, and its bands' keys (none for an empty set)."""
+def sketch(text: str | None) -> tuple[bytes, list[int], int]:
+    """The digest of the set of shingles, its bands' keys (none for an empty set), and its fingerprint."""
     own = shingles(text)
     least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(own), 512):
         least = np.minimum(least, ((own[i : i + 512, None] ^ _FLIPS) * _FACTORS).min(axis=0))
     raw, each = least.tobytes(), 8 * DEPTH
     keys = np.array([xxhash.xxh64_intdigest(raw[each * k : each * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
-    return xxhash.xxh3_128_digest(own.tobytes()), keys.tolist() if len(own) else []
+    return xxhash.xxh3_128_digest(own.tobytes()), keys.tolist() if len(own) else [], signed(majority(own))
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> bool:
@@ -83,17 +85,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of classes with one fingerprint, or with fingerprints that SimHash links."""
+    low = materialise(classes.groupBy("fp").agg(F.min("node").alias("low")))
+    same = join_hot(classes.select("fp", "node"), low, ["fp"], ["node"]).filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    linked = close_pairs(low.select("fp"))
+    for k in ("a", "b"):
+        linked = linked.join(low.select(F.col("fp").alias(k), F.col("low").alias(f"_{k}")), k)
+    return same.unionByName(linked.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row (the row's digest), component: rows that links join, however far, have one component."""
     rows = docs.select(F.col(key), row_digest(docs).alias("row"), F.col(text).alias("text"))
-    sketched = materialise(per_value(rows, "text", {"set": "binary", "bands": "array<long>"}, lambda: sketch))
-    classes = materialise(sketched.groupBy("set").agg(F.min(F.struct("row", "bands")).alias("one")).select("set", "one.row", "one.bands", F.monotonically_increasing_id().alias("node")))
+    sketched = materialise(per_value(rows, "text", {"set": "binary", "bands": "array<long>", "fp": "long"}, lambda: sketch))
+    one = sketched.groupBy("set").agg(F.min(F.struct("row", "bands", "fp")).alias("one"))
+    classes = materialise(one.select("set", "one.*", F.monotonically_increasing_id().alias("node")))
     buckets = classes.select("node", F.explode("bands").alias("band"))
     low = buckets.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "low")
     members = materialise(join_hot(buckets, low, ["band"], ["node"]).filter("node > low").select("band", "low", "node"))
-    needed = members.select("node").unionByName(members.select(F.col("low").alias("node"))).distinct().join(classes.select("node", "row"), "node")
+    pairs = materialise(members.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(_fingerprint_pairs(classes)).distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = ends.join(classes.select("node", "row"), "node")
     texts = materialise(rows.select("row", "text").join(needed, "row").groupBy("node").agg(F.first("text").alias("text")))
-    first = _verified(members.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), texts)
+    first = _verified(pairs, texts)
     roots = materialise(components(first.filter("ok").select("a", "b")))
     failed = members.join(first.filter("not ok").select(F.col("a").alias("low"), F.col("b").alias("node")), ["low", "node"]).select("band", F.col("node").alias("a"))
     more = failed.join(members.select("band", F.col("node").alias("b")), "band").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

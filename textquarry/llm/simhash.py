@@ -33,6 +33,15 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode()) for i in range(24)], np.uint64)
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number whose bits are those that over half of the hashes have."""
+    bits = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8192):
+        part = np.array(hashes[i : i + 8192], "<u8").view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # at space and 9 to 13
     if not words:
@@ -44,18 +53,19 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = (ends - [len(w) + 1 for w in words]).tolist()
         hashes = [h(joined[a:b], seed) for a, b in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=False)]
-    bits = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 8192):
-        part = np.array(hashes[i : i + 8192], "<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
+
+
+def signed(fp: int) -> int:
+    """An unsigned 64-bit number as Spark holds it."""
+    return int(np.uint64(fp).astype(np.int64))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, seed: int = 42) -> DataFrame:
     """key and fp, the fingerprint as a signed 64-bit number."""
 
     def one(t: str | None) -> tuple:
-        return (int(np.uint64(fingerprint(t, words_each, seed)).astype(np.int64)),)
+        return (signed(fingerprint(t, words_each, seed)),)
 
     return per_value(docs.select(key, text), text, {"fp": "long"}, lambda: one)
 

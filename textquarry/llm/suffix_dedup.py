@@ -152,7 +152,9 @@ def _decide(spans: DataFrame, length: int, gram: int, batch_rows: int = 20_000)
             anchor = t["anchor"].to_numpy()
             found = merge_shards(anchor, t["span"].to_pylist(), t["windows"].to_numpy(), t["offset"].to_numpy(), length, gram)
             some = [i for i, x in enumerate(found) if x]
-            return pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(pa.array(some, pa.int64())), t["run"].combine_chunks().take(pa.array(some, pa.int64())), pa.array([found[i] for i in some], pa.list_(pa.int64()))], names=["anchor", "run", "repeats"])
+            at = pa.array(some, pa.int64())
+            keys = [t[c].combine_chunks().take(at) for c in ("anchor", "run")]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([found[i] for i in some], pa.list_(pa.int64()))], names=["anchor", "run", "repeats"])
 
         held, rows = [], 0
         for batch in batches:
