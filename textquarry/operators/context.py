@@ -23,7 +23,9 @@ def within_budget(found: DataFrame, budget: int = 8000, overhead: int = 50, quer
 
 
 def source_block(i: Column, name: Column, page: Column, heading: Column, text: Column) -> Column:
-    head = F.concat_ws(" | ", F.concat(F.lit("Source ["), i.cast("string"), F.lit("]")), name, F.when(page > 0, F.concat(F.lit("p."), page.cast("string"))), F.when(T.strip(heading) != "", F.concat(F.lit("§ "), heading)))
+    on_page = F.when(page > 0, F.concat(F.lit("p."), page.cast("string")))
+    under = F.when(T.strip(heading) != "", F.concat(F.lit("§ "), heading))
+    head = F.concat_ws(" | ", F.concat(F.lit("Source ["), i.cast("string"), F.lit("]")), name, on_page, under)
     return F.concat(head, F.lit("\n"), text, F.lit("\n"))
 
 

@@ -35,7 +35,13 @@ def sections(blocks_: DataFrame, key: str = "doc_id", *order: str) -> DataFrame:
     n = blocks_.withColumn("section_no", F.sum((F.col("level") > 0).cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct(*order, "text")))), lambda x: x["text"]), "\n\n")
     text_only = F.when(F.col("level") == 0, F.col("page_number"))
-    out = n.groupBy(key, "section_no").agg(F.max(F.when(F.col("level") > 0, F.col("text"))).alias("heading"), F.max("level").alias("level"), body.alias("text"), F.min("page_number").alias("page_start"), F.max(text_only).alias("page_end"))
+    out = n.groupBy(key, "section_no").agg(
+        F.max(F.when(F.col("level") > 0, F.col("text"))).alias("heading"),
+        F.max("level").alias("level"),
+        body.alias("text"),
+        F.min("page_number").alias("page_start"),
+        F.max(text_only).alias("page_end"),
+    )
     return out.filter("text <> ''")
 
 

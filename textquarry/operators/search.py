@@ -71,7 +71,17 @@ def _best_of_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, least: float
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
 
 
-def dense_search(vectors: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id", vector: str = "embedding", least: float | None = None, others: bool = False, block_rows: int = 50_000, block_questions: int = 4_096) -> DataFrame:
+def dense_search(
+    vectors: DataFrame,
+    asked: DataFrame,
+    k: int = 20,
+    key: str = "chunk_id",
+    vector: str = "embedding",
+    least: float | None = None,
+    others: bool = False,
+    block_rows: int = 50_000,
+    block_questions: int = 4_096,
+) -> DataFrame:
     """Exact cosine top-k: query_id, key, score, rank. asked: query_id, qv; others: a question's own key is no answer.
 
     Rows and questions are dealt into blocks by hash; each pair of blocks is one task's work, which leaves k rows a

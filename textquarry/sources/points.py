@@ -33,7 +33,13 @@ def from_points(points: DataFrame) -> DataFrame:
 def stats(points: DataFrame, vector: str = "vector") -> DataFrame:
     """points, least and most dimensions, and points without a vector."""
     n = F.size(vector)
-    return points.agg(F.count(F.lit(1)).alias("points"), F.min(F.when(F.col(vector).isNotNull(), n)).alias("least_dims"), F.max(F.when(F.col(vector).isNotNull(), n)).alias("most_dims"), F.count_if(F.col(vector).isNull()).alias("without_vector"))
+    own = F.when(F.col(vector).isNotNull(), n)
+    return points.agg(
+        F.count(F.lit(1)).alias("points"),
+        F.min(own).alias("least_dims"),
+        F.max(own).alias("most_dims"),
+        F.count_if(F.col(vector).isNull()).alias("without_vector"),
+    )
 
 
 def deleted(points: DataFrame, ids: DataFrame, key: str = "point_id") -> DataFrame:
