@@ -154,16 +154,14 @@ class Model:
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 1_000, lengths: tuple[int, ...] = (5, 4, 3, 2, 1)) -> Model:
     """A model from at most docs_each labelled rows of each language; lengths: those of the n-grams, as they are tried."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
     first = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
     narrow = rows.select("l", "h", "k").withColumn("s", F.pmod("h", F.lit(64)))  # hashes are sorted, not texts; in slices first
     in_slice = F.row_number().over(Window.partitionBy("l", "s").orderBy("h", "k"))
     least = narrow.withColumn("n", in_slice).filter(F.col("n") <= docs_each).withColumn("n", first).filter(F.col("n") <= docs_each)
-    marks = least.groupBy("l").agg(F.max("h").alias("mark")).collect()  # a row for each language
-    near = F.lit(False)
-    for r in marks:
-        near = near | ((F.col("l") == r["l"]) & (F.col("h") <= r["mark"]))
-    sample = rows.filter(near).withColumn("n", first).filter(F.col("n") <= docs_each).select("l", "t")
+    marks = [tuple(r) for r in least.groupBy("l").agg(F.max("h")).collect()]  # a row for each language, as the model has a column
+    near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(marks, "l string, mark long")), "l").filter("h <= mark")
+    sample = near.withColumn("n", first).filter(F.col("n") <= docs_each).select("l", "t")
     counted = per_value(sample, "t", {"w": "string", "n": "long"}, lambda: lambda t: list(Counter(words_of(t)).items()), many=True)
     counts = materialise(counted.groupBy("l", "w").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in counts.select("l").distinct().collect())  # a row for each language
