@@ -205,8 +205,8 @@ def test_registry_against_duckdb(spark):
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "labels", "events", "orders", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("r4_hybrid_search", "a3_ask_context", "k5_fixed_chunks", "c12_clean_raw", "g12_latest_job", "g16_histogram", "s13_s19_points", "c10_drop_learned_lines", "c16_page_table_markdown", "x1_x12_w4_sections", "x13_title", "t4_analysis", "i2_progress", "i3_failures"):
-        got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
+    for name, sql in registry.ORACLE_SQL.items():
+        got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
         cols = sorted(got.columns)
         key = lambda df: sorted(map(str, df[cols].round(9).itertuples(index=False, name=None)))
         assert cols == sorted(want.columns) and len(got) == len(want), name

@@ -66,7 +66,7 @@ def tidy_spaces(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"(?<!\n) {2,}", " ")
 
 
-def is_page_number(line: Column, stripped: bool = False) -> Column:
+def is_page_number(line: Column, *, stripped: bool = False) -> Column:
     one = "|".join(f"(?:{p})" for p in PAGE_NUMBER)
     return F.coalesce((line if stripped else strip(line)).rlike(one), F.lit(False))
 

@@ -105,7 +105,7 @@ _IS_PAGE = r"(regexp_matches({0}, '^[-–—\s]*\d{{1,4}}[-–—\s]*$') OR rege
 
 @query(f"SELECT doc_id, len(list_filter({_LINES}, lambda x: {_IS_PAGE.format('x')}))::BIGINT AS page_number_lines, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda y: NOT {_IS_PAGE.format('trim(y)')}), chr(10))) AS kept FROM documents")
 def c8_page_number_lines(spark, d):
-    n = F.size(F.filter(T.lines("text"), T.is_page_number)).cast("long")
+    n = F.size(F.filter(T.lines("text"), lambda x: T.is_page_number(x))).cast("long")
     return _t(spark, d, "documents").select("doc_id", n.alias("page_number_lines"), F.md5(T.drop_page_numbers("text")).alias("kept"))
 
 
