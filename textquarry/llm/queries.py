@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, language_id, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_counts
+from . import ann, html_extraction, jaccard, language_id, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_mixing": mixing.OP9_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
