@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, jaccard, language_id, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_counts
+from . import ann, html_extraction, jaccard, language_id, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
 }
