@@ -75,7 +75,7 @@ class Deal:
     """How sets of each size are dealt into column blocks: the most n-grams of each class, and its k."""
 
     def __init__(self, percent: int, ratio: float = 1.5):
-        self.percent, self.ratio = percent, ratio
+        self.percent, self.ratio = percent, max(ratio, 100 / percent)  # so partners lie one class apart at most
         self.most: list[int] = [0]
 
     def k(self, most: int) -> int:
