@@ -34,12 +34,14 @@ def clean_text(c) -> Column:
 
 
 def nfc(c) -> Column:
-    """Canonical composition, for which Spark has no expression."""
+    """Canonical composition, for which Spark has no expression. No text changes without a character from U+0300 on, where
+    combining marks begin; only the others go to Python."""
 
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if not isinstance(x, str) else x if x.isascii() else unicodedata.normalize("NFC", x))
+        return s.map(lambda x: None if not isinstance(x, str) else unicodedata.normalize("NFC", x))
 
-    return F.pandas_udf(compose, "string")(_col(c))
+    c = _col(c)
+    return F.coalesce(F.pandas_udf(compose, "string")(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
 
 
 def fix_encoding(c) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import join_hot
+
 
 def count_by(df: DataFrame, by: str, name: str = "count") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias(name))
@@ -98,4 +100,5 @@ def cache_split(texts: DataFrame, cache: DataFrame, text: str = "text", now: Col
         age = F.unix_micros(now if now is not None else F.current_timestamp()) - F.unix_micros("cached_at")
         cache = cache.filter(age < F.lit(ttl_seconds * 1_000_000)).drop("cached_at")
     keyed = texts.withColumn("key", F.md5(text))
-    return keyed.join(cache, "key"), keyed.join(cache.select("key"), "key", "left_anti").select("key", text).dropDuplicates(["key"])
+    lacking = keyed.select("key", text).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    return join_hot(keyed, cache, ["key"]), lacking

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import join_salted
+
+
+#: Ranges of the posting blocks of a search without an index: a term's documents are at most this many rows.
+KEYWORD_RANGES = 1 << 16
 
 
 def metadata_filter(df: DataFrame, filters: dict, match: str = "all") -> DataFrame:
@@ -102,16 +107,12 @@ def dense_search(
 def keyword_search(docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Documents that hold all terms, in order of their keys, score 1. asked: query_id, ts.
 
-    A document meets the questions whose rarest term it holds, and is tested for their other terms there.
+    One pass over the texts: posting blocks of the terms asked for, intersected range by range.
     """
-    terms = asked.select("query_id", F.explode("ts").alias("term"), F.array_distinct("ts").alias("ts"))
-    own = docs.select(F.col(key), F.array_distinct(T.terms(text)).alias("_t"))
-    wanted = terms.select("term").distinct()
-    counts = own.select(F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ranked = terms.join(counts, "term", "left").groupBy("query_id", "ts").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "term"))["term"].alias("term"))
-    met = own.select(key, F.explode("_t").alias("term")).join(ranked, "term").select(key, "query_id", "ts")
-    held = own.join(met, key).filter(F.size(F.array_except("ts", "_t")) == 0)
-    return _top(held.select("query_id", key, F.lit(1.0).alias("score")), k, F.col(key))
+    from .text_index import match_all, postings  # which builds on this module
+
+    wanted = asked.select(F.explode("ts").alias("term"))
+    return match_all(postings(docs, key, text, KEYWORD_RANGES, wanted), asked, k, key)
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, k: int = 20, dense_weight: float = 0.7, keyword_weight: float = 0.3, constant: int = 60, key: str = "chunk_id") -> DataFrame:
@@ -160,7 +161,7 @@ def bm25(docs: DataFrame, asked: DataFrame, k: int = 20, key: str = "doc_id", te
     sizes = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_t")).alias("avgdl"))
     tf = held.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes))  # one row
-    s = tf.join(df, "term").join(wanted, "term")
+    s = join_salted(tf, df.join(wanted, "term"), ["term"], [key])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return _top(s.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")), k, F.desc("score"), F.col(key))
