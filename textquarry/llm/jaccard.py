@@ -11,12 +11,12 @@ for a node with t or more of them, which keeps them all (two nodes that agree on
 Columns of one node are dropped. What remains counts towards t: a node with fewer takes no part, and of its columns, the
 rarest first, all but the last t - 1 suffice. No column is cut, however common.
 
-Product. Members of a column are multiplied with its least node first, exactly: most copies link there, by a spanning star.
-Then, columns that still hold several components are multiplied in tiles of ``TILE`` nodes: overlaps accumulate from
-parities of n-gram counts in 8 k bits, whose distance never exceeds the number of differing n-grams, so that pairs below the
-bound set by their sizes are discarded without a miss; of the survivors between two components, the closest ``BATCH`` are
-verified exactly, 64 times as many in the next round, until all links between components are found. So copies cost a few
-pairs each, and pairs leave a task only if they are nearly certain links between components not joined yet.
+Product. Columns are multiplied in tiles of ``TILE`` nodes: overlaps accumulate from parities of n-gram counts in 8 k bits,
+whose distance never exceeds the number of differing n-grams, so that pairs below the bound set by their sizes are
+discarded without a miss. Of the survivors a tile hands on a spanning forest, closest first, to be verified in full, which
+joins most copies. Then, of any two components that survivors still connect, the closest ``BATCH`` are verified, and
+``GROWTH`` times as many in the next round, until all links between components are found. So copies cost a pair each, and
+texts move only for pairs that are nearly certain to link.
 
 Cases: null and blank texts have no set and link with nothing; shorter texts are one n-gram; rows alike share a node;
 a null key takes no part in the smallest key; an empty table gives an empty table; further columns are not used. Sets
@@ -38,7 +38,7 @@ from .common import forget, join_hot, materialise, per_value, table
 from .graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-TILE, BATCH, GROWTH = 512, 64, 64
+TILE, BATCH, GROWTH = 1024, 64, 64
 _U = np.uint64
 
 
@@ -182,121 +182,205 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, each:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
-    """The columns of each run of rows with equal first columns: numbers as arrays, bytes as lists."""
+class Rows:
+    """Some rows of tiles, whole columns at a time: which may link, and what of that to hand on."""
+
+    def __init__(self, parts: list[pa.RecordBatch], percent: int):
+        one = pa.Table.from_batches(parts).combine_chunks()
+        self.keys = np.stack([one.column(i).to_numpy() for i in range(4)])  # low, i, j, column
+        self.tile, self.node, self.root, self.n = (one.column(i).to_numpy() for i in range(4, 8))
+        self.starts = np.flatnonzero(np.r_[True, (self.keys[:, 1:] != self.keys[:, :-1]).any(axis=0)])
+        self.ends = np.r_[self.starts[1:], len(self.node)]
+        self.group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        self.both = self.keys[1] != self.keys[2]
+        self.percent = percent
+        width = np.fromiter(map(len, parity := one.column(8).to_pylist()), np.int64, len(self.node))
+        self.width, self.place, self.bits = width, np.zeros(len(width), np.int64), {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            self.place[own] = np.arange(len(own))
+            self.bits[w] = np.frombuffer(b"".join([parity[i] for i in own.tolist()]), _U).reshape(len(own), -1)
+
+    def _near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the pairs those that may link, with their distance: rows of group, distance, x, y."""
+        tx, ty = self.tile[x], self.tile[y]
+        keep = (self.root[x] != self.root[y]) & (~self.both[x] | (tx != ty))
+        nx, ny = self.n[x], self.n[y]
+        keep &= 100 * np.minimum(nx, ny) >= self.percent * np.maximum(nx, ny)
+        x, y, out = x[keep], y[keep], []
+        for w in np.unique(self.width[x]).tolist():
+            own = self.width[x] == w
+            u, v, bits = x[own], y[own], self.bits[w]
+            apart, most = np.zeros(len(u), np.int64), (100 - self.percent) * (self.n[u] + self.n[v])
+            for c in range(0, bits.shape[1], 16):  # by blocks of bits; a pair beyond its bound is out
+                apart += np.bitwise_count(bits[self.place[u], c : c + 16] ^ bits[self.place[v], c : c + 16]).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + self.percent) <= most
+                u, v, apart, most = u[near], v[near], apart[near], most[near]
+            out.append(np.stack([self.group[u], apart, u, v]))
+        return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+
+    def _chosen(self, rows: np.ndarray, batch: int) -> np.ndarray:
+        """Which of the rows to hand on: of each two components of a group the closest `batch`; or, for 0, a spanning forest."""
+        names, code = np.unique(np.stack([self.group, self.root]), axis=1, return_inverse=True)
+        x, y = np.sort(np.stack([code[rows[2]], code[rows[3]]]), axis=0)
+        order = np.lexsort((rows[3], rows[2], rows[1], y, x))
+        if batch:
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+            return np.sort(order[rank < batch])
+        label, taken, left = np.arange(names.shape[1]), [], np.argsort(rows[1], kind="stable")
+        while len(left := left[label[x[left]] != label[y[left]]]):  # each component takes its closest edge
+            ends = np.concatenate([label[x[left]], label[y[left]]])
+            least = np.unique(np.unique(ends, return_index=True)[1] % len(left))
+            picked = left[least]
+            taken.append(picked)
+            up: dict[int, int] = {}
+
+            def top(c: int, up: dict = up) -> int:
+                while (d := up.get(c, c)) != c:
+                    up[c] = up.get(d, d)
+                    c = d
+                return c
+
+            for u, v in zip(label[x[picked]].tolist(), label[y[picked]].tolist(), strict=True):
+                p, q = top(u), top(v)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+            label = np.fromiter(map(top, label.tolist()), np.int64, len(label))
+        return np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+
+    def pairs(self, batch: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """a, b, column and whether its group had more."""
+        size, found = self.ends - self.starts, []
+        at = np.flatnonzero((size <= small)[self.group])
+        end = self.ends[self.group]
+        d = 1
+        while len(at := at[at + d < end[at]]):
+            found.append(self._near(at, at + d))
+            d += 1
+        for g in np.flatnonzero(size > small).tolist():
+            own = np.arange(self.starts[g], self.ends[g])
+            rows = np.zeros((4, 0), np.int64)
+            for i in range(0, len(own), 32):
+                x = own[i : i + 32]
+                u, v = np.nonzero(x[:, None] < own[None, :])
+                rows = np.concatenate([rows, self._near(x[u], own[v])], axis=1)
+                if rows.shape[1] > 200_000 and batch:
+                    kept = self._chosen(rows, batch + 1)  # one more, so that there being more shows
+                    rows = rows[:, kept]
+            found.append(rows)
+        rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        kept = self._chosen(rows, batch)
+        had, left = (np.bincount(rows[0, k], minlength=len(size)) for k in (slice(None), kept))
+        rows = rows[:, kept]
+        a, b = np.sort(np.stack([self.node[rows[2]], self.node[rows[3]]]), axis=0)
+        return a, b, self.keys[3][rows[2]], (had > left)[rows[0]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 8192) -> Iterator[list[pa.RecordBatch]]:
+    """Batches cut where the column (the fourth key) changes, some `size` rows together, or one column alone."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        told = np.stack([batch.column(i).to_numpy() for i in range(keys)])
-        ends = [*(np.flatnonzero((told[:, 1:] != told[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
-            yield _joined(held)
+        told = np.stack([batch.column(i).to_numpy() for i in range(4)])
+        cuts = np.r_[0, np.flatnonzero((told[:, 1:] != told[:, :-1]).any(axis=0)) + 1]
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(4)) and sum(h.num_rows for h in held) >= size:
+            yield held
             held = []
-        for a, b in zip([0, *ends], ends, strict=False):
-            held.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield _joined(held)
-                held = []
+        at = 0
+        for cut in [*cuts[1:].tolist()]:
+            if sum(h.num_rows for h in held) + cut - at >= size:
+                yield [*held, batch.slice(at, cut - at)]
+                held, at = [], cut
+        held.append(batch.slice(at))
     if held:
-        yield _joined(held)
+        yield held
 
 
-def _joined(parts: list[pa.RecordBatch]) -> list:
-    one = pa.Table.from_batches(parts).combine_chunks()
-    return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in one.columns]
-
-
-def survivors(tile: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, batch: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of different components that may link: of each two components the closest `batch`, and whether there were more.
-
-    tile: 0 for rows of the first tile and 1 for those of a second, in which case only pairs across are looked at.
-    """
-    both = bool(tile.any() and not tile.all())
-    found, far = [], []
-    for i in range(len(node)):
-        j = np.flatnonzero((root != root[i]) & ((tile > tile[i]) if both else (np.arange(len(node)) > i)))
-        j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        if len(j):
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = apart * (100 + percent) <= (100 - percent) * (n[j] + n[i])
-            found += [(i, x) for x in j[near].tolist()]
-            far += apart[near].tolist()
-    taken: dict = {}
-    out, more = [], False
-    for _, (i, j) in sorted(zip(far, found, strict=True)):
-        between = (min(root[i], root[j]), max(root[i], root[j]))
-        taken[between] = taken.get(between, 0) + 1
-        if taken[between] > batch:
-            more = True
-        else:
-            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-    return out, more
-
-
-def _unjoined(members: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, batch: int) -> DataFrame:
-    """a, b, more: what tiles of columns with several components leave to verify."""
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _unjoined(members: DataFrame, sketches: DataFrame, roots: DataFrame | None, percent: int, batch: int) -> DataFrame:
+    """a, b, column, more: what tiles of columns with several components leave to verify. Tiles with one least node, which
+    copies share over many columns, follow each other in a task, which hands a pair on once for them."""
+    rooted = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by = Window.partitionBy("column")
     mixed = rooted.withColumn("_least", F.min("root").over(by)).withColumn("_most", F.max("root").over(by)).filter("_least <> _most")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)).cast("int")
-    placed = mixed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    placed = placed.select("column", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("tile"), "node", "root", "upper")
-    dealt = placed.join(sketches, ["node", "upper"]).select("column", "i", "j", "tile", "node", "root", "n", "parity").repartition("column", "i", "j").sortWithinPartitions("column", "i", "j", "tile")
+    placed = mixed.withColumn("_own", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    placed = placed.select("low", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "column", (F.col("_own") > F.col("_other")).cast("int").alias("tile"), "node", "root", "upper")
+    order = ["low", "i", "j", "column"]
+    dealt = placed.join(sketches, ["node", "upper"]).select(*order, "tile", "node", "root", "n", "parity").repartition("low", "i", "j").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, tile, node, root, n, parity in _groups(batches, 3):
-            if i[0] != j[0] and (tile.all() or not tile.any()):
-                continue
-            bits = np.frombuffer(b"".join(parity), _U).reshape(len(node), -1)
-            pairs, more = survivors(tile, node, root, n, bits, percent, batch)
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([more] * len(a))], names=["a", "b", "more"])
-
-    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+        run_of, seen = None, set()
+        for parts in _chunks(batches):
+            rows = Rows(parts, percent)
+            a, b, column, more = rows.pairs(batch)
+            low = tuple(rows.keys[:3, 0].tolist())
+            if low != run_of or len(seen) > 1_000_000:
+                run_of, seen = low, set()
+            keep, told = [], set()
+            for i, pair in enumerate(zip(a.tolist(), b.tolist(), column.tolist(), strict=True)):
+                if pair[:2] not in seen or pair[2] not in told:  # a column with survivors shows in one row at least
+                    keep.append(i)
+                    seen.add(pair[:2])
+                told.add(pair[2])
+            run_of = tuple(rows.keys[:3, -1].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, column, more)], names=["a", "b", "column", "more"])
+
+    return dealt.mapInArrow(run, "a long, b long, column long, more boolean")
 
 
 def links(docs: DataFrame, key: str, text: str, words: int, percent: int, hints=None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, n; n-grams of the row's set) and roots (node, root) of all nodes that link with another.
 
-    hints(nodes with their text) may give further pairs (a, b) of nodes to verify first.
+    hints(sketched rows) may give further pairs (a < b) of nodes to verify first.
     """
     sketched = _sketched(docs, key, text, words, percent)
-    nodes = sketched.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("at", "at2")).alias("one")).select("node", "one.*")
+    rows = materialise(sketched.select("key", "node", "n", "at", "at2"))
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("at", "at2")).alias("one")).select("node", "one.*")
     members = _company(sketched)
-    pairs = members.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    if hints is not None:
-        pairs = pairs.unionByName(hints(sketched)).distinct()
-    pairs = materialise(pairs)
+    parity = [F.struct(F.lit(bool(i)).alias("upper"), F.col(f"parity{i}").alias("parity")) for i in range(2)]
+    each = sketched.select("node", "n", F.explode(F.array(*parity)).alias("x")).select("node", "n", "x.*").filter("parity IS NOT NULL")
+    sketches = materialise(each.join(members.select("node", "upper").distinct(), ["node", "upper"], "left_semi").dropDuplicates(["node", "upper"]))
+    found = materialise(_unjoined(members, sketches, None, percent, 0))
+    forget(sketched)
+    columns = found.select("column").distinct()  # no other has two nodes that may link
+    members = materialise(members.join(columns, "column", "left_semi"))
+    pairs = materialise((found.select("a", "b") if hints is None else found.select("a", "b").union(hints(rows))).distinct())
     ends = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = materialise(_texts(docs, text, ends.join(nodes, "node")))
-    sketches = materialise(
-        sketched.select("node", "n", F.explode(F.array(*[F.struct(F.lit(bool(i)).alias("upper"), F.col(f"parity{i}").alias("parity")) for i in range(2)])).alias("x"))
-        .select("node", "n", "x.*").filter("parity IS NOT NULL").join(members.select("node", "upper").distinct(), ["node", "upper"], "left_semi").dropDuplicates(["node", "upper"])
-    )
     tested, batch = verified(pairs, texts, words, percent), BATCH
     while True:
         roots = materialise(components(tested.filter("ok").select("a", "b")))
-        found = materialise(_unjoined(members.select("column", "node", "upper", F.col("n").alias("_n")).withColumnRenamed("_n", "n"), sketches, roots, percent, batch))
-        new = materialise(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+        found = materialise(_unjoined(members, sketches, roots, percent, batch))
+        new = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         some, more = new.limit(1).count(), found.filter("more").limit(1).count()
         if some:
             tested = materialise(tested.unionByName(verified(new, texts, words, percent)))
         forget(new)
         forget(found)
         if not some and not more:
-            return sketched.select("key", "node", "n"), roots
+            return rows, roots
         forget(roots)
         batch *= GROWTH
 
 
+#: Bytes of the texts' places that are sent to all tasks; a table of more is joined by a shuffle.
+SENT = 64 << 20
+
+
 def _texts(docs: DataFrame, text: str, wanted: DataFrame, salts: int = 16) -> DataFrame:
-    """node, text for wanted (node, at, at2). Rows are salted by their place, so copies of a text spread; one leaves each task."""
+    """node, text for wanted (node, at, at2): few enough of them are sent to the texts; else rows are salted by their place, so
+    that copies of a text spread, and one leaves each task."""
+    wanted = materialise(wanted)
     held = docs.select(F.xxhash64(text).alias("at"), F.xxhash64(F.lit(1), text).alias("at2"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("salt"), F.col(text).alias("text"))
-    spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    return held.join(spread, ["at", "at2", "salt"]).groupBy("node").agg(F.first("text").alias("text"))
+    if wanted.count() * 32 <= SENT:
+        met = held.join(F.broadcast(wanted), ["at", "at2"])
+    else:
+        spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
+        met = held.join(spread, ["at", "at2", "salt"])
+    return met.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
