@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zlib
+from collections.abc import Mapping
 
 import numpy as np
 
@@ -29,10 +29,6 @@ NOISE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-#: Attribute tokens are told apart by their hash, in so many classes.
-BUCKETS = 128
-
-
 class _Open:
     """The open elements, with the places of each tag, of scopes and of blocks, so that no question walks the stack."""
 
@@ -76,25 +72,24 @@ class Page:
     __slots__ = ("depth", "mark", "parent", "place", "runs", "sizes", "tag", "tokens")
 
     def __init__(self, text: str | None):
-        self.parent, self.tag, self.depth, self.tokens, self.mark, self.place = [-1], ["#page"], [0], [0], [None], [0]
+        self.parent, self.tag, self.depth, self.tokens, self.mark, self.place = [-1], ["#page"], [0], [()], [None], [0]
         self.runs: list[tuple[int, str, int]] = []
         self._read(text or "")
 
     def _node(self, parent: int, tag: str, attrs: str, children: list[int]) -> int:
-        tokens, mark = 0, None
+        tokens, mark = {}, None
         for name, value in _ATTR.findall(attrs) if attrs.strip(" /") else ():
             name = name.lower()
             if name in ("id", "class", "role"):
-                for word in _NAME.findall(value.lower()):
-                    tokens |= 1 << zlib.crc32(word.encode()) % BUCKETS
+                tokens.update(dict.fromkeys(_NAME.findall(value.lower())))
             elif name == "hidden":
-                tokens |= 1 << zlib.crc32(b"hidden") % BUCKETS
+                tokens["hidden"] = None
             elif name == "data-main":
                 mark = value.strip("\"'") == "1"
         self.parent.append(parent)
         self.tag.append(tag)
         self.depth.append(self.depth[parent] + 1)
-        self.tokens.append(tokens)
+        self.tokens.append(tuple(tokens))
         self.mark.append(mark)
         self.place.append(children[parent])
         children[parent] += 1
@@ -167,12 +162,13 @@ class Page:
             runs.append((node, run, n))
         self.runs = runs
 
-    def features(self) -> np.ndarray:
-        """A row for each node: density of its subtree, place and depth, tags of it and above, and a column for each class of
-        attribute tokens of it and above."""
+    def features(self, evidence: Mapping[str, float] | None = None) -> np.ndarray:
+        """A row for each node: density of its subtree, place and depth, tags of it and above, its share among its siblings, and
+        the least, greatest and summed evidence of the attribute tokens of it and above (none for tokens not known)."""
         n = len(self.parent)
         parent = self.parent
-        chars, linked, stops, blocks, subs, heads, up_main, up_noise, path = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        chars, linked, stops, blocks, subs, heads, up_main, up_noise = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n
+        low, high, told, largest = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
         start = [0] * n
         longest = [0] * n
         total = 0
@@ -201,11 +197,13 @@ class Page:
             blocks[p] += blocks[v]
             heads[p] += heads[v]
             longest[p] = max(longest[p], longest[v])
+            largest[p] = max(largest[p], chars[v])
             if chars[v] and (not start[p] or start[v] < start[p]):
                 start[p] = start[v]
         for v in range(1, n):
             p = parent[v]
-            path[v] = path[p] | self.tokens[v]
+            own = [e for t in self.tokens[v] if (e := evidence.get(t)) is not None] if evidence else ()
+            low[v], high[v], told[v] = min([low[p], *own]), max([high[p], *own]), told[p] + sum(own)
             up_main[v] = int(up_main[p] or self.tag[v] in ("article", "main"))
             up_noise[v] = int(up_noise[p] or self.tag[v] in NOISE_TAGS)
         c, k, b = np.array(chars, float), np.array(linked, float), np.array(blocks, float)
@@ -227,10 +225,14 @@ class Page:
             np.array(up_main),
             np.array(up_noise),
             np.array(heads) > 0,
+            c / np.maximum([largest[p] if p >= 0 else total for p in parent], 1),
+            np.array([chars[p] if p >= 0 else total for p in parent]) / max(total, 1),
+            np.array(low),
+            np.array(high),
+            np.array(told),
             *([t in tags for t in self.tag] for tags in (NOISE_TAGS, ("article", "main"), ("p",), HEADING, ("ul", "ol", "li", "dl"), ("#run",), ("#page", "html", "body"))),
         ]
-        bits = np.frombuffer(b"".join(x.to_bytes(BUCKETS // 8, "little") for x in path), np.uint8).reshape(n, -1)
-        return np.concatenate([np.stack(columns, axis=1).astype(np.float32), np.unpackbits(bits, axis=1, bitorder="little").astype(np.float32)], axis=1)
+        return np.stack(columns, axis=1).astype(np.float32)
 
     def truth(self) -> np.ndarray:
         """1 for what lies in a marked element, or around one; marks of 0 take out what they hold."""

@@ -1,8 +1,8 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, with hierarchical decoding.
 
 Features are the densities of a node's subtree (text, links, punctuation, tags), attribute tokens of the node and above
-(hashed into classes, each with the log odds that the sample gives it; the trees see the least, the greatest and the sum),
-depth, and place among its siblings. A page is decoded as a whole: of all choices of nodes in which
+(each with the log odds that the sample gives it; the trees see the least, the greatest and the sum, and nothing of tokens
+that the sample lacks), depth, and place and share among its siblings. A page is decoded as a whole: of all choices of nodes in which
 nothing below a dropped node is kept, the one with the highest sum of log odds; so an ancestor and a descendant never disagree.
 
 The trees are fitted with Spark ML on a sample of the pages themselves, at most ``max_pages``: those with the smallest
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, per_value, table
-from .dom import BUCKETS, Page
+from .dom import NOISE_TAGS, Page
 
 _MAIN = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _PARA = re.compile(r"<p\b[^>]*>(.*?)(?=<p\b|</p|\Z)", re.S | re.I)
@@ -49,14 +49,26 @@ BOXES = {
     "foot": "footer foot copyright".split(),
 }
 MAIN_NAMES = "article articlebody blog body content entry main post story text".split()
+#: What sites add to the names of boxes of either kind.
+AFFIXES = "box list left inner wrap block".split()
+_TITLE = re.compile(r"<h1\b[^>]*>.*?</h1\s*>", re.S | re.I)
 _TAGS = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.S | re.I)
 
 
+def _outside_menus(markup: str) -> str:
+    """The text of a page without a mark, but for what stands in menus, headers and the like, or is links mostly."""
+    p = Page(markup)
+    aside = [False] * len(p.parent)
+    for v in range(1, len(aside)):
+        aside[v] = aside[p.parent[v]] or p.tag[v] in NOISE_TAGS
+    return " ".join(run for node, run, linked in p.runs if not aside[node] and 2 * linked < len(run)) or " ".join(run for _, run, _ in p.runs)
+
+
 def variants(markup: str, n: int = 8) -> list[str]:
     """The page with its main element marked, where it has one, and n rearrangements of its text; by the page's own seed."""
     m = _MAIN.search(markup)
     rng = random.Random(zlib.crc32(markup.encode("utf-8", "surrogatepass")))
-    words = (_TAGS.sub(" ", m[2] if m else markup)).split()
+    words = (_TAGS.sub(" ", m[2]) if m else _outside_menus(markup)).split()
     if not words:
         return []
     if m:
@@ -74,10 +86,15 @@ def variants(markup: str, n: int = 8) -> list[str]:
 
     pick = rng.choice
 
+    def unheard() -> str:
+        return "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+
     def named(kind: str) -> str:
-        """A class or id of the kind, often with another word at it."""
+        """A class or id of the kind, often with another word at it; sometimes none that says anything."""
+        if rng.random() < 0.25:
+            return pick(["", f'class="{unheard()}"', f'id="{unheard()}"'])
         name = pick(BOXES[kind])
-        name = pick([name, name, f"{name}-{pick(['box', 'list', 'left', 'inner', 'wrap', 'block'])}", f"{pick(['site', 'page', 'js', 'the'])}_{name}", f"{name} {pick(BOXES[kind])}"])
+        name = pick([name, name, f"{name}-{pick(AFFIXES)}", f"{pick(['site', 'page', 'js', 'the'])}_{name}", f"{name} {pick(BOXES[kind])}"])
         return f'{pick(["class", "class", "id"])}="{name}"'
 
     def noise() -> str:
@@ -118,9 +135,11 @@ def variants(markup: str, n: int = 8) -> list[str]:
                 body = body[:spot] + pick(own) + body[spot:]
             if rng.random() < 0.1:
                 body = body[:spot] + noise().replace(">", " data-main=0>", 1) + body[spot:]
-        own_name = f'{pick(["class", "id"])}="{pick(MAIN_NAMES)}{pick(["", "-body", "-inner", " wide"])}"'
-        wrap = pick(["article", "main", f"div {own_name}", f"div {own_name}", f"section {own_name}", "div", "section"])
+        own_name = f'{pick(["class", "id"])}="{pick(MAIN_NAMES)}{pick(["", "", f"-{pick(AFFIXES)}", "-body", " wide"])}"'
+        wrap = pick(["article", "main", f"div {own_name}", f"div {own_name}", f"section {own_name}", "div", "section", f'div class="{unheard()}"', f'div id="{unheard()}"'])
         end = wrap.split()[0]
+        if end in ("article", "main") and (title := _TITLE.search(body)) and rng.random() < 0.4:  # the article's own header
+            body = body[: title.start()] + f"<header>{title[0]}</header>" + body[title.end() :]
         inner = f"<{wrap} data-main=1>{body}</b></{end}>"
         inner = pick([inner, f'<div id="wrap"><div>{inner}</div></div>', f"<main>{inner}</main>"])
         tops = [
@@ -137,6 +156,11 @@ def variants(markup: str, n: int = 8) -> list[str]:
             f"<div {named('foot')}>{say(2, 10)}</div>",
         ]
         top, foot = pick(tops), pick(feet)
+        if rng.random() < 0.1:  # little besides the text
+            k = rng.randint(1, 3)
+            bare = "".join(f"<p>{say(8, 60)}</p>" for _ in range(k)) if rng.random() < 0.5 else body + "</b>"
+            out.append(f"<html><body data-main=1>{bare}</body></html>")
+            continue
         before, after = ("".join(noise() for _ in range(rng.randint(0, 2))) for _ in range(2))
         out.append(f"<html><body>{top}{before}{inner}{after}{foot}</body></html>")
     return out
@@ -145,8 +169,8 @@ def variants(markup: str, n: int = 8) -> list[str]:
 class Trees:
     """Boosted regression trees as flat arrays, evaluated over all nodes and trees at once."""
 
-    def __init__(self, model=None, evidence: list[float] | None = None):
-        self.evidence = np.array(evidence or [0.0] * BUCKETS)
+    def __init__(self, model=None, evidence: dict[str, float] | None = None):
+        self.evidence = evidence or {}
         self.weights, rows, self.roots = [], [], []
         for weight, tree in zip(model.treeWeights, model.trees, strict=True) if model else []:
             self.weights.append(weight)
@@ -171,8 +195,6 @@ class Trees:
         """Log odds of each row."""
         if not self.roots:  # nothing learnt
             return np.ones(len(x))
-        told = x[:, -BUCKETS:] * self.evidence
-        x = np.concatenate([x[:, :-BUCKETS], told.min(axis=1)[:, None], told.max(axis=1)[:, None], told.sum(axis=1)[:, None]], axis=1)
         at = np.tile(np.array(self.roots), (len(x), 1))
         rows = np.arange(len(x))[:, None]
         while True:
@@ -187,27 +209,33 @@ def fit(pages: DataFrame, html: str = "html", max_pages: int = 200, max_nodes: i
     held = pages.filter(F.length(html) > 0).select(F.col(html).alias("html"), F.lower(html).rlike("<(article|main)[ >]").alias("marked"), F.xxhash64(html).alias("h"))
     sample = materialise(held.orderBy(F.desc("marked"), "h", "html").limit(max_pages).select("html"))
 
+    def tokens(markup: str) -> list[tuple]:
+        """Each element's attribute tokens, with whether it is or holds main text."""
+        pages = [Page(v) for v in variants(markup)]
+        return [(label, " ".join(own)) for p in pages for label, own in zip(p.truth().tolist(), p.tokens, strict=True)]
+
+    named = per_value(sample.repartition(16), "html", {"label": "double", "tokens": "string"}, lambda: tokens, many=True)
+    seen = materialise(named.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("main")))
+    n, main = (float(x or 0) for x in seen.agg(F.sum("n"), F.sum("main")).first())
+    if not 0 < main < n:
+        return Trees()
+    each = seen.select(F.explode(F.split("tokens", " ")).alias("token"), "n", "main").filter("token <> ''").groupBy("token").agg(F.sum("n").alias("n"), F.sum("main").alias("main"))
+    # A row a token that occurs in the sample twice or more, so bounded as the sample is.
+    evidence = {t: math.log((good + 1) / (all_ - good + 1)) - math.log(main / (n - main)) for t, all_, good in each.filter("n > 1").orderBy("token").collect()}
+    forget(seen)
+
     def nodes(markup: str) -> list[tuple]:
         out = []
         for v in variants(markup):
             page = Page(v)
-            truth, x = page.truth(), page.features().astype(np.float64)
+            truth, x = page.truth(), page.features(evidence).astype(np.float64)
             some = np.random.default_rng(1).permutation(len(x))[:max_nodes]
             out += zip(truth[some].tolist(), x[some], strict=True)
         return out
 
     rows = materialise(per_value(sample.repartition(16), "html", {"label": "double", "x": "array<double>"}, lambda: nodes, many=True))
     forget(sample)
-    bit = [F.col("x")[F.size("x") - BUCKETS + i] for i in range(BUCKETS)]
-    seen = rows.agg(F.count(F.lit(1)), F.sum("label"), *(F.sum(b) for b in bit), *(F.sum(b * F.col("label")) for b in bit)).first()
-    n, main = seen[0], seen[1] or 0.0
-    if not 0 < main < n:
-        return Trees()
-    evidence = [math.log((good + 1) / (all_ - good + 1)) - math.log(main / (n - main)) if all_ else 0.0 for all_, good in zip(seen[2 : 2 + BUCKETS], seen[2 + BUCKETS :], strict=True)]
-    told = F.zip_with(F.slice("x", F.size("x") - BUCKETS + 1, BUCKETS), F.array(*[F.lit(float(e)) for e in evidence]), lambda b, e: b * e).alias("told")
-    held = rows.select("label", F.slice("x", 1, F.size("x") - BUCKETS).alias("x"), told)
-    summed = F.array(F.array_min("told"), F.array_max("told"), F.aggregate("told", F.lit(0.0), lambda a, v: a + v))
-    train = held.select("label", array_to_vector(F.concat("x", summed)).alias("features")).coalesce(8)
+    train = rows.select("label", array_to_vector("x").alias("features")).coalesce(8)
     train = train.persist()
     try:
         return Trees(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(train), evidence)
@@ -224,7 +252,7 @@ def extract(pages: DataFrame, trees: Trees, html: str = "html", keep: bool = Fal
         page = Page(markup)
         if not page.runs:
             return "", 0
-        text = page.decode(shared.value.odds(page.features()))
+        text = page.decode(shared.value.odds(page.features(shared.value.evidence)))
         return text, len(text)
 
     return per_value(pages, html, {"text": "string", "n_chars": "long"}, lambda: one, keep)
