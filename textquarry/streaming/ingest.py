@@ -24,3 +24,28 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str | None = N
     own = events.withWatermark("ts", late) if late else events
     out = own.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def session_windows(events: DataFrame, by: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Sessions of each `by`: runs of events less than a gap apart, with start, end (the gap after the last event), count and sum."""
+    own = events.withWatermark("ts", late) if late else events
+    out = own.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", F.round("total", 4).alias("total"))
+
+
+def sliding_windows(events: DataFrame, width: str = "1 hour", slide: str = "15 minutes", late: str | None = None) -> DataFrame:
+    """Counts and sums by overlapping windows and type."""
+    own = events.withWatermark("ts", late) if late else events
+    out = own.groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def followed_within(first: DataFrame, then: DataFrame, by: str, bound: str = "10 minutes", late: str | None = None) -> DataFrame:
+    """Pairs of rows of one `by` in which `then` comes at most a bound after `first` (id, by, ts each). As streams, with
+    `late`, the state of either side goes when the watermark has passed the bound."""
+    a = first.select(F.col("id").alias("first_id"), F.col(by).alias("_a"), F.col("ts").alias("first_ts"))
+    b = then.select(F.col("id").alias("then_id"), F.col(by), F.col("ts").alias("then_ts"))
+    if late:
+        a, b = a.withWatermark("first_ts", late), b.withWatermark("then_ts", late)
+    met = a.join(b, (F.col("_a") == F.col(by)) & (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {bound}")))
+    return met.select(by, "first_id", "then_id", "first_ts", "then_ts")
