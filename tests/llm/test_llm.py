@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textquarry.llm import graph, line_dedup, media, mixing, near_copies, packing, simhash, suffix_dedup, token_counts
+from textquarry.llm import graph, jaccard, line_dedup, media, mixing, near_copies, packing, simhash, suffix_dedup, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 ODD = [None, "", " ", "a", "Ünï çödé ß Σας", "a<|endoftext|>b <|startoftext|>", "don't I'LL x y", "日本語 ok 1½", "x" * 3000, "the cat sat on the mat", "the cat sat on the mat"]
@@ -218,7 +218,7 @@ def test_near_copies(spark):
             for i in rnd.sample(range(len(w)), edits):
                 w[i] = "changed"
             texts.append(" ".join(w))
-    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    sets = [set(jaccard.shingles(t, near_copies.WORDS).tolist()) for t in texts]
     alike = [[j for j in range(len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(texts))]
     between = [(i, j) for i in range(len(texts)) for j in alike[i] if i < j and len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j])]
     assert len(between) > 20  # pairs at 0.8 to 0.9

@@ -30,20 +30,24 @@ def _step(edges: DataFrame) -> DataFrame:
     return moved.unionByName(told.filter("v = m").select("u", "v")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, root), root being the smallest node of the component; for every node that has an edge to another."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges (a, b) -> (node, root), root being the smallest node of the component; for every node that has an edge to another.
+
+    After `rounds` steps at most, if given: then nodes with one root are of one component, but one may still have several roots.
+    """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     held = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = mark(held)
-    while before[0]:
+    before, done = mark(held), 0
+    while before[0] and done != rounds:
         new = materialise(_step(held))
         forget(held)
         held, after = new, mark(new)
         if after == before:
             break
-        before = after
+        before, done = after, done + 1
     roots = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return out if rounds is None else out.groupBy("node").agg(F.min("root").alias("root"))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, join_hot, materialise, per_value, table
 from .graph import components
+from .simhash import majority, signed
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 TILE, BATCH, GROWTH = 1024, 64, 64
@@ -112,13 +113,13 @@ class Deal:
         return digests.view(np.int64).tolist(), need, np.packbits(odd.astype(bool)).tobytes()
 
     def sketch(self, own: np.ndarray) -> tuple:
-        """node, n, and columns, need, parities of the set's own class and of that above; None where there are none."""
+        """node, n, the fingerprint, and columns, need, parities of the set's own class and of that above; None where there are none."""
         found = [self.columns(own, c) for c in self.classes(len(own))] if len(own) else []
         node = int(np.int64(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))) if len(own) else None
-        return node, len(own), *[x for own_class in [*found, *[([], None, None)] * 2][:2] for x in own_class]
+        return node, len(own), signed(majority(own)), *[x for own_class in [*found, *[([], None, None)] * 2][:2] for x in own_class]
 
 
-_SKETCH = {"node": "long", "n": "long", "columns0": "array<long>", "need0": "int", "parity0": "binary", "columns1": "array<long>", "need1": "int", "parity1": "binary"}
+_SKETCH = {"node": "long", "n": "long", "fp": "long", "columns0": "array<long>", "need0": "int", "parity0": "binary", "columns1": "array<long>", "need1": "int", "parity1": "binary"}
 
 
 def _sketched(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -130,7 +131,7 @@ def _sketched(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
         def one(value: str | None) -> tuple:
             own = deal.sketch(shingles(value, words))
             if own[0] in seen:
-                return own[0], own[1], [], None, None, [], None, None
+                return *own[:3], [], None, None, [], None, None
             seen.add(own[0])
             return own
 
@@ -337,7 +338,7 @@ def links(docs: DataFrame, key: str, text: str, words: int, percent: int, hints=
     hints(sketched rows) may give further pairs (a < b) of nodes to verify first.
     """
     sketched = _sketched(docs, key, text, words, percent)
-    rows = materialise(sketched.select("key", "node", "n", "at", "at2"))
+    rows = materialise(sketched.select("key", "node", "n", "fp", "at", "at2"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("at", "at2")).alias("one")).select("node", "one.*")
     members = _company(sketched)
     parity = [F.struct(F.lit(bool(i)).alias("upper"), F.col(f"parity{i}").alias("parity")) for i in range(2)]
@@ -352,17 +353,17 @@ def links(docs: DataFrame, key: str, text: str, words: int, percent: int, hints=
     texts = materialise(_texts(docs, text, ends.join(nodes, "node")))
     tested, batch = verified(pairs, texts, words, percent), BATCH
     while True:
-        roots = materialise(components(tested.filter("ok").select("a", "b")))
+        linked = tested.filter("ok").select("a", "b")
+        roots = materialise(components(linked, 2))  # rough ones: two nodes that they tell apart are only looked at once more
         found = materialise(_unjoined(members, sketches, roots, percent, batch))
         new = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        some, more = new.limit(1).count(), found.filter("more").limit(1).count()
-        if some:
+        more = found.filter("more").limit(1).count()
+        if new.limit(1).count():
             tested = materialise(tested.unionByName(verified(new, texts, words, percent)))
-        forget(new)
-        forget(found)
-        if not some and not more:
-            return rows, roots
-        forget(roots)
+        for held in (new, found, roots):
+            forget(held)
+        if not more:  # all that the tiles found is tested
+            return rows, materialise(components(tested.filter("ok").select("a", "b")))
         batch *= GROWTH
 
 

@@ -1,14 +1,9 @@
-"""Near copies by five-word shingles: exact Jaccard similarity of at least ``LEAST``, for the pipeline's near-dedup stage.
+"""Near copies by five-word shingles: exact Jaccard similarity of at least ``LEAST`` per cent, for the pipeline's near-dedup stage.
 
-Candidates come from two sides. SimHash links (the operator's own: deals, pivot distance tables, two bits) find the
-closest. Fingerprints cannot deal out the rest: at similarity 0.8 about 10 of 64 bits differ, and up to 20. So each set of
-shingles also gets ``BANDS`` keys, each of ``DEPTH`` minima of its hashes; a pair at 0.8 shares none of them with a chance of
-(1 - 0.8 ** 5) ** 36, less than one in a million, and a pair above still less. Pairs that share a key are candidates, and only
-those whose sets, compared in full, are similar enough become links.
-
-Scale: texts with one set of shingles are one class first. In a bucket (the classes with a key) all are compared with
-its smallest class; classes that are no near copy of that are compared with the whole bucket, unless links join them
-already. So a group of many near copies costs a comparison each, and no candidate is left out. Only texts of candidates move.
+SimHash (the operator's own: five-word fingerprints, deals, pivot distance tables, two bits) gives the closest pairs, which
+join most copies. At similarity 0.8 about 10 of 64 bits differ, and up to 20, which no deal of fingerprints can find;
+so the n-gram join, whose blocks lose no pair, looks for the links that are left between the components. Every link, from
+either side, is verified on the whole sets before it counts. Rows with one set are one node; a group of copies costs a few pairs each.
 
 Cases: null and blank texts have no shingles and are copies of each other; a text of fewer than five words is one
 shingle; rows without a key take part; rows are told apart by all their columns, so repeated keys are harmless.
@@ -16,79 +11,21 @@ shingle; rows without a key take part; rows are told apart by all their columns,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, forget, join_hot, materialise, per_value, row_digest, salted
-from .graph import components
-from .simhash import close_pairs, majority, signed
-
-WORDS, LEAST, BANDS, DEPTH = 5, 0.8, 36, 5
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_FLIPS, _FACTORS = (np.array([xxhash.xxh64_intdigest(f"{kind} {i}".encode()) | odd for i in range(BANDS * DEPTH)], np.uint64) for kind, odd in (("flip", 0), ("factor", 1)))
-
-
-def shingles(text: str | None, words_each: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the different shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # at space and 9 to 13
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= words_each:
-        return np.array([h(joined)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=False)], np.uint64))
-
-
-def sketch(text: str | None) -> tuple[bytes, list[int], int]:
-    """The digest of the set of shingles, its bands' keys (none for an empty set), and its fingerprint."""
-    own = shingles(text)
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), 512):
-        least = np.minimum(least, ((own[i : i + 512, None] ^ _FLIPS) * _FACTORS).min(axis=0))
-    raw, each = least.tobytes(), 8 * DEPTH
-    keys = np.array([xxhash.xxh64_intdigest(raw[each * k : each * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
-    return xxhash.xxh3_128_digest(own.tobytes()), keys.tolist() if len(own) else [], signed(majority(own))
+from .common import join_hot, materialise, row_digest
+from .jaccard import links
+from .simhash import close_pairs
 
+WORDS, LEAST = 5, 80
 
-def similar(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= least * (len(x) + len(y) - both)
 
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b; distinct) with ok. The text of a goes once to each salt of its partners, whose texts follow it there."""
-    marked = materialise(pairs.withColumn("salt", salted(SALTS, "b")))
-    first = marked.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rest = marked.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    dealt = first.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            found = []
-            for a, b, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if b is None:
-                    own = shingles(text)
-                else:
-                    found.append((a, b, similar(own, shingles(text))))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "ok"])
-
-    out = materialise(dealt.mapInArrow(run, "a long, b long, ok boolean"))
-    forget(marked)
-    return out
-
-
-def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of classes with one fingerprint, or with fingerprints that SimHash links."""
-    low = materialise(classes.groupBy("fp").agg(F.min("node").alias("low")))
-    same = join_hot(classes.select("fp", "node"), low, ["fp"], ["node"]).filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes with one fingerprint (the least of them with each other), or with fingerprints that SimHash links."""
+    nodes = rows.filter("node IS NOT NULL").select("fp", "node").distinct()
+    low = materialise(nodes.groupBy("fp").agg(F.min("node").alias("low")))
+    same = join_hot(nodes, low, ["fp"], ["node"]).filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     linked = close_pairs(low.select("fp"))
     for k in ("a", "b"):
         linked = linked.join(low.select(F.col("fp").alias(k), F.col("low").alias(f"_{k}")), k)
@@ -96,25 +33,9 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row (the row's digest), component: rows that links join, however far, have one component."""
-    rows = docs.select(F.col(key), row_digest(docs).alias("row"), F.col(text).alias("text"))
-    sketched = materialise(per_value(rows, "text", {"set": "binary", "bands": "array<long>", "fp": "long"}, lambda: sketch))
-    one = sketched.groupBy("set").agg(F.min(F.struct("row", "bands", "fp")).alias("one"))
-    classes = materialise(one.select("set", "one.*", F.monotonically_increasing_id().alias("node")))
-    buckets = classes.select("node", F.explode("bands").alias("band"))
-    low = buckets.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "low")
-    members = materialise(join_hot(buckets, low, ["band"], ["node"]).filter("node > low").select("band", "low", "node"))
-    pairs = materialise(members.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(_fingerprint_pairs(classes)).distinct())
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = ends.join(classes.select("node", "row"), "node")
-    texts = materialise(rows.select("row", "text").join(needed, "row").groupBy("node").agg(F.first("text").alias("text")))
-    first = _verified(pairs, texts)
-    roots = materialise(components(first.filter("ok").select("a", "b")))
-    failed = members.join(first.filter("not ok").select(F.col("a").alias("low"), F.col("b").alias("node")), ["low", "node"]).select("band", F.col("node").alias("a"))
-    more = failed.join(members.select("band", F.col("node").alias("b")), "band").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for k in ("a", "b"):
-        more = more.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"_{k}")), k, "left")
-    more = more.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = first.unionByName(_verified(more, texts)).filter("ok").select("a", "b")
-    labels = classes.select("set", "node").join(components(links), "node", "left").select("set", F.coalesce("root", "node").alias("component"))
-    return join_hot(sketched.select(key, "row", "set"), labels, ["set"], ["row"]).select(key, "row", "component")
+    """key, row (the row's digest), component: rows that links join, however far, have one component (null: no words)."""
+    told = docs.select(F.struct(F.col(key).alias("key"), row_digest(docs).alias("row")).alias("_key"), F.col(text).alias("text"))
+    rows, roots = links(told, "_key", "text", WORDS, LEAST, fingerprint_pairs)
+    held = rows.select(F.col("key.key").alias(key), F.col("key.row").alias("row"), "node")
+    labelled = join_hot(held, roots, ["node"], ["row"], "left")
+    return labelled.select(key, "row", F.coalesce("root", "node").alias("component"))
