@@ -91,12 +91,13 @@ _PARSED = rf"""{_FILES}, p AS (SELECT stem AS doc_id, {_CLEAN} AS text FROM f WH
  chunks AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * 336 + 1 : chunk_index * 336 + 384], ' ') AS text, md5(doc_id || '|fixed|' || chunk_index) AS chunk_id FROM c)"""
 
 
-def _ingested(spark, d):
-    """From files to points in one plan: read by suffix, clean, cut, key. Returns the files, their texts, chunks and points."""
-    given = _files(spark, d)
+def _ingested(spark, d, seen=lambda df, step: df):
+    """From files to points in one plan: read by suffix, clean, cut, key. Returns the files, their texts, chunks and points;
+    each of the first three goes through seen(df, step) before the next is made of it."""
+    given = seen(_files(spark, d), "files")
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    texts = files.text_documents(given).select(stem.alias("doc_id"), F.col("raw_text").alias("text"))
-    made = chunk.fixed_chunks(texts)
+    texts = seen(files.text_documents(given).select(stem.alias("doc_id"), F.col("raw_text").alias("text")), "documents")
+    made = seen(chunk.fixed_chunks(texts), "chunks")
     held = points.to_points(made.select("chunk_id", "doc_id", "chunk_index", "text", F.lit(None).cast("array<double>").alias("embedding")))
     return given, texts, made, held
 
