@@ -9,7 +9,7 @@ from textquarry.functions import tables
 from textquarry.operators import cache_tiers, chunk, punkt, sketches
 from textquarry.operators.run_metrics import RunMetrics, StreamMetrics, bucket_counts
 
-TEXTS = [f"Then Dr. Brown met {a} at noon. The talk of Dr. Brown and Prof. Grey took long, e.g. an hour. The {b} went home! It rained." for a in ("Ann", "Bob", "Cid", "Dan") for b in ("cat", "dog", "owl", "fox", "hen") for _ in range(6)]
+TEXTS = [f"Then Dr. Brown met {a} at noon. The talk of Dr. Brown and Prof. Grey took long, e.g. an hour. The {b} went home! It rained. Noon came an hour late and home again it rained on us and went on." for a in ("Ann", "Bob", "Cid", "Dan") for b in ("cat", "dog", "owl", "fox", "hen") for _ in range(6)]
 
 
 @pytest.fixture(scope="module")
