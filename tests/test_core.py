@@ -205,7 +205,7 @@ def plain(v):
         return [plain(x) for x in v]
     if isinstance(v, dict):
         return {k: plain(x) for k, x in v.items()}
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, bool | np.bool_):
         return bool(v)

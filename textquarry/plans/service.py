@@ -13,10 +13,10 @@ from .prepare import _FILES, _files
 from .registry import _CLEAN, _FIXED, _WORDS, _asked, _hybrid, _hybrid_sql, _ranked_chunks, _t, query
 
 
-@query(f"""WITH {_hybrid_sql(10)}
- SELECT 'dense' AS mode, query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds) WHERE rank <= 10
+@query(f"""WITH {_hybrid_sql(10)}, with_terms AS (SELECT query_id FROM asked WHERE len(ts) > 0)
+ SELECT 'dense' AS mode, query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ds) SEMI JOIN with_terms USING (query_id) WHERE rank <= 10
  UNION ALL SELECT 'keyword', query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER AS rank FROM ks) WHERE rank <= 10
- UNION ALL SELECT 'hybrid', query_id, doc_id, score, rank FROM hybrid""")
+ UNION ALL SELECT 'hybrid', query_id, doc_id, score, rank FROM hybrid SEMI JOIN with_terms USING (query_id)""")
 def r5_modes(spark, d):
     vectors, docs, asked = _t(spark, d, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), _t(spark, d, "documents", "doc_id", "text"), _asked(spark, d)
     parts = [search.retrieve(m, vectors, docs, asked, 10, "doc_id").select(F.lit(m).alias("mode"), "query_id", "doc_id", "score", "rank") for m in ("dense", "keyword", "hybrid")]
