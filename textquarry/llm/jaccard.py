@@ -75,9 +75,23 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 class Deal:
     """How sets of each size are dealt into column blocks: the most n-grams of each class, and its k."""
 
-    def __init__(self, percent: int, ratio: float = 1.5):
+    def __init__(self, percent: int, ratio: float = 1.5, bands: tuple[int, int] | None = None):
+        """bands (number, depth): columns are bands of minima instead of blocks, fewer, but a link is missed now and then."""
         self.percent, self.ratio = percent, max(ratio, 100 / percent)  # so partners lie one class apart at most
         self.most: list[int] = [0]
+        self.bands = bands
+        if bands:
+            self.flips, self.factors = (np.array([xxhash.xxh64_intdigest(f"{kind} {i}".encode()) | odd for i in range(bands[0] * bands[1])], _U) for kind, odd in (("flip", 0), ("factor", 1)))
+
+    def _minima(self, own: np.ndarray) -> np.ndarray:
+        """A digest of each band."""
+        least = np.full(len(self.flips), np.iinfo(np.uint64).max, _U)
+        for i in range(0, len(own), 512):
+            least = np.minimum(least, ((own[i : i + 512, None] ^ self.flips) * self.factors).min(axis=0))
+        made = np.arange(self.bands[0], dtype=_U)
+        for each in least.reshape(self.bands).T:
+            made = _mixed(made, _A) + each
+        return _mixed(made, _B)
 
     def k(self, most: int) -> int:
         """How many n-grams of two linked sets of at most `most` each may differ."""
@@ -90,9 +104,15 @@ class Deal:
         c = int(np.searchsorted(self.most, n))
         return [x for x in ([c, c + 1] if n * 100 // self.percent > self.most[c] else [c]) if self.k(self.most[x])]
 
-    def columns(self, own: np.ndarray, c: int) -> tuple[list[int], int, bytes]:
+    def columns(self, own: np.ndarray, c: int, minima: np.ndarray | None = None) -> tuple[list[int], int, bytes]:
         """Digests of the set's blocks in class c, how many of these any linked set of the class has too, and its parities."""
         k = self.k(self.most[c])
+        digests, need = self._blocks(own, c, k) if minima is None else (_mixed(minima + _U(c), _C), 1)
+        bits = 64 * math.ceil(8 * k / 64)
+        odd = np.bincount(((_mixed(own, _E) >> _U(11)) % _U(bits)).astype(np.int64), minlength=bits) & 1
+        return digests.view(np.int64).tolist(), need, np.packbits(odd.astype(bool)).tobytes()
+
+    def _blocks(self, own: np.ndarray, c: int, k: int) -> tuple[np.ndarray, int]:
         t = 1 + math.ceil(k / 4)
         m = k + t
         block = (_mixed(own, _C) >> _U(11)) % _U(m)
@@ -108,13 +128,12 @@ class Deal:
             digests, need = np.r_[digests, _mixed(empty * _U(1 << 20) + _U(c), _B)], 1
         else:
             digests, need = digests[sizes >= 2], t - weak
-        bits = 64 * math.ceil(8 * k / 64)
-        odd = np.bincount(((_mixed(own, _E) >> _U(11)) % _U(bits)).astype(np.int64), minlength=bits) & 1
-        return digests.view(np.int64).tolist(), need, np.packbits(odd.astype(bool)).tobytes()
+        return digests, need
 
     def sketch(self, own: np.ndarray) -> tuple:
         """node, n, the fingerprint, and columns, need, parities of the set's own class and of that above; None where there are none."""
-        found = [self.columns(own, c) for c in self.classes(len(own))] if len(own) else []
+        minima = self._minima(own) if self.bands and len(own) else None
+        found = [self.columns(own, c, minima) for c in self.classes(len(own))] if len(own) else []
         node = int(np.int64(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))) if len(own) else None
         return node, len(own), signed(majority(own)), *[x for own_class in [*found, *[([], None, None)] * 2][:2] for x in own_class]
 
@@ -122,11 +141,11 @@ class Deal:
 _SKETCH = {"node": "long", "n": "long", "fp": "long", "columns0": "array<long>", "need0": "int", "parity0": "binary", "columns1": "array<long>", "need1": "int", "parity1": "binary"}
 
 
-def _sketched(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def _sketched(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: tuple[int, int] | None) -> DataFrame:
     """key, at (two hashes of the text), node, n and columns; those of a set come once from each task that holds it."""
 
     def start():
-        deal, seen = Deal(percent), set()
+        deal, seen = Deal(percent, bands=bands), set()
 
         def one(value: str | None) -> tuple:
             own = deal.sketch(shingles(value, words))
@@ -332,12 +351,12 @@ def _unjoined(members: DataFrame, sketches: DataFrame, roots: DataFrame | None,
     return dealt.mapInArrow(run, "a long, b long, column long, more boolean")
 
 
-def links(docs: DataFrame, key: str, text: str, words: int, percent: int, hints=None) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: str, text: str, words: int, percent: int, hints=None, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, n; n-grams of the row's set) and roots (node, root) of all nodes that link with another.
 
-    hints(sketched rows) may give further pairs (a < b) of nodes to verify first.
+    hints(sketched rows) may give further pairs (a < b) of nodes to verify first. bands: see Deal.
     """
-    sketched = _sketched(docs, key, text, words, percent)
+    sketched = _sketched(docs, key, text, words, percent, bands)
     rows = materialise(sketched.select("key", "node", "n", "fp", "at", "at2"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("at", "at2")).alias("one")).select("node", "one.*")
     members = _company(sketched)
