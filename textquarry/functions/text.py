@@ -27,9 +27,17 @@ def unix_lines(c) -> Column:
     return F.regexp_replace(_col(c), "\r\n?", "\n")
 
 
-def clean_text(c) -> Column:
-    """Line ends to LF, other white space to one space, at most one blank line in a row, no white space around."""
-    one = F.regexp_replace(unix_lines(c), r"(?U)[[\s\x1c-\x1f]&&[^\n]]+", " ")
+#: Control characters but tab and line ends.
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+
+
+def clean_text(c, strict: bool = False) -> Column:
+    """Line ends to LF, other white space to one space, at most one blank line in a row, no white space around.
+
+    strict: control characters go, and lines end without white space (blank lines of spaces count as blank then).
+    """
+    one = F.regexp_replace(unix_lines(F.regexp_replace(_col(c), _CONTROL, "") if strict else c), r"(?U)[[\s\x1c-\x1f]&&[^\n]]+", " ")
+    one = F.regexp_replace(one, " +(?=\n)", "") if strict else one
     return strip(F.regexp_replace(one, "\n{3,}", "\n\n"))
 
 
@@ -45,7 +53,7 @@ def nfc(c) -> Column:
 
 
 def fix_encoding(c) -> Column:
-    return unix_lines(F.regexp_replace(nfc(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    return unix_lines(F.regexp_replace(nfc(c), _CONTROL, ""))
 
 
 def drop_cid(c) -> Column:

@@ -45,6 +45,45 @@ def sections(blocks_: DataFrame, key: str = "doc_id", *order: str) -> DataFrame:
     return out.filter("text <> ''")
 
 
+def page_sections(pages: DataFrame, blocks_: DataFrame, tables: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Sections over the pages of documents: key, section_no (from 0, without gaps), heading, level, text, page_start, page_end, has_table.
+
+    pages: key, page_number, text and, if known, flat (a page read as an image, whose blocks do not count). A page without
+    blocks is flat too: its text goes on with the section that is open. Tables (key, page_number, position, table) follow
+    the blocks of their page and leave the section's end as it is. A section without text is dropped; a document without
+    any section is one, with the text of all its pages. All parts of a document meet by one shuffle.
+    """
+    flat = F.coalesce("flat", F.lit(False)) if "flat" in pages.columns else F.lit(False)
+
+    def part(df: DataFrame, kind: int, at: Column, level: Column, text: str, flat: Column = F.lit(False)) -> DataFrame:
+        return df.select(key, F.col("page_number").cast("int").alias("page"), F.lit(kind).alias("kind"), at.cast("long").alias("at"), level.cast("int").alias("level"), F.col(text).alias("text"), flat.alias("flat"))
+
+    rows = part(pages, 0, F.lit(0), F.lit(0), "text", flat).unionByName(part(blocks_, 1, F.col("block"), F.col("level"), "text"))
+    if tables is not None:
+        rows = rows.unionByName(part(tables, 2, F.col("position"), F.lit(0), "table"))
+    page, own = Window.partitionBy(key, "page"), Window.partitionBy(key)
+    told = rows.repartition(key).withColumn("flat", F.bool_or("flat").over(page) | ~F.bool_or(F.col("kind") == 1).over(page)).filter("kind = 0 OR NOT flat")
+    no = F.sum((F.col("level") > 0).cast("int")).over(own.orderBy("page", "kind", "at").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.array(F.lit(-1).cast("long"))  # the section of all pages
+    filed = told.withColumn("no", no).withColumn("no", F.explode(F.when(F.col("kind") > 0, F.array("no")).when(F.col("flat"), F.concat(whole, F.array("no"))).otherwise(whole)))
+    body, heading = (F.col("level") == 0) & (T.strip("text") != ""), F.col("level") > 0
+    parts = F.transform(F.array_sort(F.collect_list(F.when(body, F.struct("page", "kind", "at", "text")))), lambda x: x["text"])
+    found = filed.groupBy(key, "no").agg(
+        F.max(F.when(heading, F.col("text"))).alias("heading"),
+        F.max("level").alias("level"),
+        parts.alias("parts"),
+        F.coalesce(F.max(F.when(heading, F.col("page"))), F.lit(1)).alias("page_start"),
+        F.max(F.when(body & (F.col("kind") < 2), F.col("page"))).alias("last"),
+        F.max("page").alias("pages"),
+    )
+    text = T.strip(F.when(F.col("no") < 0, F.array_join("parts", "\n\n")).otherwise(F.array_join("parts", "\n")))
+    kept = found.withColumn("text", text).filter("text <> ''").withColumn("most", F.max("no").over(own)).filter("no >= 0 OR most < 0")
+    end = F.when(F.col("no") < 0, F.col("pages")).otherwise(F.coalesce("last", "page_start"))
+    table = (F.col("no") >= 0) & F.exists("parts", lambda x: x.contains("| --- |"))
+    place = (F.row_number().over(own.orderBy("no")) - 1).cast("long")
+    return kept.select(key, place.alias("section_no"), "heading", "level", "text", "page_start", end.alias("page_end"), table.alias("has_table"))
+
+
 def title(blocks_: DataFrame, key: str = "doc_id") -> DataFrame:
     """The largest of the first five blocks of page 1 with 4 to 119 characters (needs size)."""
     first = blocks_.filter("page_number = 1 AND block < 5").filter(F.length("text").between(4, 119))
