@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import unicodedata
 from collections import Counter
 from pathlib import Path
@@ -97,12 +98,35 @@ def test_sample_has_a_bound_and_every_language(spark):
     assert model.langs == ["en", "fr", "xx"] and model.predict(["ėjo"])[0][0] == "xx"
     for k, bound in ((10, 10), (1000, 1000)):
         model = language_id.fit(df.filter("lang = 'en'"), docs_each=k)
-        held = sum(round(10 ** r[0] * 1e6) for r in model.base.tolist())
+        held = sum(round(10 ** (v + model.lowest) * 1e6) for v in model.base.value.tolist())
         assert abs(held - 1e6) < 20 and len(model.words) <= 20 * bound
     assert language_id.fit(df.limit(0)).predict(["the", None]) == [("und", 0.0)] * 2
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_thousands_of_labels(spark):
+    """Counts are sparse: three thousand labels fit in seconds, each is learned, and the sample's bound holds over all."""
+    own = lambda k: "own" + "".join(chr(97 + int(x)) for x in f"{k:04d}")
+    rows = [(i, f"shared words {own(k)} and again {own(k)} {i}", f"l{k:04d}") for i, k in enumerate(k for k in range(3000) for _ in range(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    start = time.monotonic()
+    model = language_id.fit(df, docs_most=6000)
+    took = time.monotonic() - start
+    assert took < 60, took
+    assert len(model.langs) == 3000 and len(model.base.value) < 10 * len(rows)
+    got = model.predict([r[1] for r in rows[::100]])
+    assert [g[0] for g in got] == [r[2] for r in rows[::100]]
+    one = language_id.fit(df, docs_most=3000)
+    assert len(one.langs) == 3000 and sum(round(x) for x in counted(one)) == 3000 * 6
+
+
+def counted(model):
+    """Words of the sample by language, from the model: each sampled text here has the word "shared" once."""
+    at = model.words.index("shared")
+    own = slice(model.base.start[at], model.base.start[at] + model.base.size[at])
+    return 10 ** -(model.base.value[own] + model.lowest)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     if not Path(sf).is_dir():
