@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import layout
 from ..sources import markup
-from .prepare import _SPANS, _rows, _spans
+from .prepare import _MD, _SPANS, _rows, _spans
 from .registry import _t, query
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -59,11 +59,8 @@ def c1_strict_clean(spark, d):
     return _t(spark, d, "documents", "doc_id", noisy.alias("t")).select("doc_id", F.md5(T.clean_text("t", strict=True)).alias("cleaned"))
 
 
-_STRICT_MD = "array_to_string(list_concat(['| ' || array_to_string(list_resize(r[1], w, ''), ' | ') || ' |', '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |'], list_transform(r[2:], lambda x: '| ' || array_to_string(list_resize(x, w, ''), ' | ') || ' |')), chr(10))"
-
-
 @query(rf"""WITH g AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: list_transform(string_split(x, ' ')[1:4], lambda c: CASE WHEN c LIKE '%,' THEN '' ELSE replace(replace(c, '.', '|'), '|', '\|') END)) AS r FROM documents),
- w AS (SELECT *, len(r[1]) AS w FROM g) SELECT doc_id, md5({_STRICT_MD}) AS markdown_md5 FROM w""")
+ w AS (SELECT *, len(r[1]) AS w FROM g) SELECT doc_id, md5({_MD}) AS markdown_md5 FROM w""")
 def c15_strict_table(spark, d):
     """Tables whose cells hold bars or nothing at all."""
     cell = lambda c: F.when(~c.endswith(","), F.replace(c, F.lit("."), F.lit("|")))
