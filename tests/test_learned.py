@@ -38,6 +38,22 @@ def test_a_model_has_a_bound(spark, monkeypatch):
         punkt.learn(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
 
 
+def test_a_model_of_tables_has_no_bound(spark, monkeypatch, tmp_path, model):
+    from textquarry.plans import learned
+
+    monkeypatch.setattr(punkt, "MOST", 1)
+    texts = [*TEXTS, "Dr. Brown left. The end. ", "See Prof. The end came", "", " \n", None, 'He said "Go home." Then, (e.g. the cat!)\nYes', "the talk of Dr.", "Dr. Dr. The Prof.' The"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["position"]): r["sentence"] for r in learned.k11_punkt_sentences(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(punkt, "MOST", 20_000)
+    own = punkt.sentences(docs, punkt.learn(docs)).select("doc_id", F.posexplode("sentences")).select("doc_id", F.col("pos") + 1, F.md5("col")).collect()
+    assert got == {(r[0], r[1]): r[2] for r in own}
+    tables_of = lambda ws: spark.createDataFrame([(w,) for w in ws], "type string")
+    both = [f.orderBy("doc_id").select("sentences").collect() for f in (punkt.sentences(docs, model), punkt.sentences_by(docs, tables_of(model.abbreviations), tables_of(model.starters)))]
+    assert both[0] == both[1]
+
+
 def test_table_function(spark):
     tables.register(spark)
     rows = [(1, 0, "a b c. " * 300), (1, 2, "x y"), (1, 1, " "), (2, 0, None), (3, 5, "one"), (None, 0, "no id")]

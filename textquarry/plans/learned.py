@@ -38,14 +38,15 @@ def _xlog(x: str, y: str) -> str:
  SELECT type, b::BIGINT AS n, ab::BIGINT AS at_start, round(-2 * (({_xlog('b', 'b / n')} + {_xlog('n - b', '1 - b / n')}) - ({_xlog('ab', 'ab / m')} + {_xlog('m - ab', '1 - ab / m')}
   + {_xlog('b - ab', '(b - ab) / (n - m)')} + {_xlog('n - m - b + ab', '1 - (b - ab) / (n - m)')})), 6) AS score FROM z WHERE ab > 0 AND ab / m > b / n""")
 def k11_punkt_starters(spark, d):
-    docs = _t(spark, d, "documents", "text")
-    return punkt.starter_scores(docs, punkt._bounded(punkt.abbreviation_scores(docs), punkt.ABBREVIATION))
+    return punkt.learned_tables(_t(spark, d, "documents", "text"))[1]
 
 
 @query()
 def k11_punkt_sentences(spark, d):
     docs = _t(spark, d, "documents", "doc_id", "text")
-    told = punkt.sentences(docs, punkt.learn(docs)).select("doc_id", F.posexplode("sentences"))
+    abbreviations, starters = punkt.learned_tables(docs)
+    model = punkt._over(abbreviations, punkt.ABBREVIATION), written(punkt._over(starters, punkt.STARTER))
+    told = punkt.sentences_by(docs, *model).select("doc_id", F.posexplode("sentences"))
     return told.select("doc_id", (F.col("pos") + 1).cast("long").alias("position"), F.md5("col").alias("sentence"))
 
 
