@@ -56,6 +56,12 @@ def test_tables(spark):
     assert wide.select(T.page_table_to_markdown(F.col("r"))).first()[0] == "| A |  |  |\n| --- | --- | --- |\n| 1 | x y | z |"
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    given = [-1e-9, -0.0, 0.0, 2.5e-6, 5e-6, -5e-6, 0.123455, -1.0, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(V.rounded(F.col("x"), 5)).collect()]
+    assert str(got) == "[-0.0, -0.0, 0.0, 0.0, 1e-05, -1e-05, 0.12346, -1.0, inf, nan, None]"
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine("a", "b")).collect()] == [1.0, 0.0, 0.0]

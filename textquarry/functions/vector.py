@@ -35,3 +35,9 @@ def cosine(a, b) -> Column:
 def l2_normalise(v) -> Column:
     n = norm(v)
     return F.when(n == 0, _d(v)).otherwise(F.transform(_d(v), lambda x: x / n))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Halves away from zero, as SQL engines round doubles; what is rounded to zero keeps its sign (Spark's round drops it)."""
+    scale = F.lit(10.0**places)
+    return F.signum(x) * (F.round(F.abs(x) * scale) / scale)
