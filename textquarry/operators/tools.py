@@ -7,13 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import join_few, written
+
 MOST_RESULTS, RESULT_CHARS, PREVIEW_CHARS, CONTENT_CHARS = 20, 800, 2000, 8000
 
 
 def search_results(found: DataFrame, docs: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
     """Ranked rows with the start of their text; never more than 20 of a query."""
-    own = found.filter(F.col("rank") <= min(max(k, 1), MOST_RESULTS))
-    return own.join(docs, key, "left").select("query_id", key, "rank", F.round("score", 4).alias("score"), F.substring(F.coalesce("text", F.lit("")), 1, RESULT_CHARS).alias("text"))
+    own = written(found.filter(F.col("rank") <= min(max(k, 1), MOST_RESULTS)))
+    starts = docs.select(key, F.substring("text", 1, RESULT_CHARS).alias("text"))
+    held = join_few(starts, own.select(key).distinct(), [key], [key], "left_semi")  # only texts that were found move
+    return own.join(held, key, "left").select("query_id", key, "rank", F.round("score", 4).alias("score"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def document(docs: DataFrame, by_id=None, name: str | None = None, key: str = "doc_id", filename: str = "filename") -> DataFrame:
