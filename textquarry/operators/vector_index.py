@@ -33,6 +33,8 @@ from .search import _best_of_block, _top, metadata_filter
 
 #: The list of vectors without a direction.
 ZERO = -1
+#: Bytes of what is made of some rows of a batch at once: their angles to all centroids, or their vectors for all lists.
+PIECE_BYTES = 16 << 20
 #: Scores are rounded to six places, so what may come within this of a threshold is looked at.
 SLACK = 2e-6
 
@@ -66,6 +68,14 @@ def _angles(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centroids.T, -1.0, 1.0))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], row_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows that what is made of them has PIECE_BYTES at most (or is one row's)."""
+    rows = max(1, PIECE_BYTES // row_bytes)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column.to_pylist()]) if len(column) else np.zeros((0, 1))
 
@@ -100,13 +110,12 @@ def build(
     shared = spark.sparkContext.broadcast(centroids)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 8 * len(shared.value)):
             x = _matrix(batch.column(batch.num_columns - 1))
-            if len(x):
-                far = _angles(_unit(x), shared.value)
-                nearest = far.argmin(axis=1)
-                none = ~x.any(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(none, ZERO, nearest), pa.int32()), pa.array(np.where(none, 0.0, far[np.arange(len(x)), nearest]))], names=[*batch.schema.names, "list", "angle"])
+            far = _angles(_unit(x), shared.value)
+            nearest = far.argmin(axis=1)
+            none = ~x.any(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(none, ZERO, nearest), pa.int32()), pa.array(np.where(none, 0.0, far[np.arange(len(x)), nearest]))], names=[*batch.schema.names, "list", "angle"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
     filed = held.mapInArrow(file, f"{kinds}, list int, angle double")
@@ -142,10 +151,8 @@ def _routed(asked: DataFrame, index: VectorIndex, probes: int, least: float | No
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, radius, sizes = shared.value
-        for batch in batches:
+        for batch in _pieces(batches, 8 * (centroids.size + len(centroids))):  # a question may take all lists, with its vector
             q = _matrix(batch.column(1))
-            if not len(q):
-                continue
             far = _angles(_unit(q), centroids)
             best = np.cos(np.clip(far - radius, 0.0, None)) + SLACK
             best[~q.any(axis=1)] = SLACK  # all scores of a question without direction are 0
